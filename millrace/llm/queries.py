@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.language_id import identify
 from millrace.llm.mixing import mix_sources
+from millrace.llm.quality_classifier import score_quality
 from millrace.llm.quality_rules import quality_rules
 from millrace.llm.token_store import read_summaries, write_store
 from millrace.llm.url_filter import filter_urls
@@ -50,8 +52,16 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_summaries(spark, path)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_url_filter, op4_bpe, op5_exact_dedup, op6_quality_rules, op7_token_store)}
+    return {f.__name__: f for f in (op2_mixing, op3_url_filter, op4_bpe, op5_exact_dedup, op6_quality_rules, op7_token_store, op8_quality_classifier, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
