@@ -11,7 +11,8 @@ What keeps large groups of copies cheap, without losing a link between different
 * equal sets are one class from the start;
 * in a first round, each set of a list is compared with one pivot only;
 * in a second round, only sets of different components in a list are compared: those outside the
-  list's most common component with all of the list.
+  list's most common component with all of the list, and of those only pairs whose parity maps
+  don't rule a link out.
 
 Rarity is estimated by a count sketch of fixed width over all documents. It only orders the shingles: any
 order gives the same links.
@@ -33,6 +34,8 @@ from millrace.plans.components import components
 from millrace.plans.scratch import materialise
 
 SKETCH = 1 << 18
+#: Bits of a set's parity map: the bits in which two maps differ are at most the elements in which the sets do.
+MAP_BITS = 512
 #: The boundary is sought up to this size; larger sets have too many subsets for any corpus.
 MOST_SMALL = 30
 
@@ -119,7 +122,7 @@ def _subsets(s: np.ndarray, percent: int) -> list[int]:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, counts: np.ndarray, small: int) -> DataFrame:
-    """doc_id, n, sig_a, sig_b, keys (list entries; the first ``core`` serve larger sets), subsets, sub_c."""
+    """doc_id, n, sig_a, sig_b, keys (list entries; the first ``core`` serve larger sets), subsets, sub_c, map."""
     ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint64))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -129,7 +132,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         digest = xxhash.xxh3_128_digest(s.tobytes())
         sig = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
         if n == 0:
-            return 0, *sig, 0, [], [], []
+            return 0, *sig, 0, [], [], [], []
+        parity = np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1).view(np.int64)
         pairs = _subsets(s, percent) if n <= small else []
         keys, core = np.zeros(0, np.int64), 0
         if n > small or 100 * n >= percent * (small + 1):
@@ -140,24 +144,32 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             # elements that tie with the last are taken too: the order has no other tie rule
             keys = s[first[: np.searchsorted(order[first], last, "right")]].view(np.int64)
             core = int(np.searchsorted(order[first], last_core, "right"))
-        return n, *sig, core, keys, [k for _, k in pairs], [c for c, _ in pairs]
+        return n, *sig, core, keys, [k for _, k in pairs], [c for c, _ in pairs], parity
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, max(1, whole.num_rows), 1000)):
                 got = [of(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                cols = list(zip(*got, strict=True)) or [[]] * 7
+                cols = list(zip(*got, strict=True)) or [[]] * 8
                 longs = pa.list_(pa.int64())
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n", "sig_a", "sig_b", "core", "keys", "subsets", "sub_c"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.list_(pa.int32()), longs]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n", "sig_a", "sig_b", "core", "keys", "subsets", "sub_c", "map"])
 
-    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {id_type}, n bigint, sig_a bigint, sig_b bigint, core int, keys array<bigint>, subsets array<bigint>, sub_c array<int>")
+    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {id_type}, n bigint, sig_a bigint, sig_b bigint, core int, keys array<bigint>, subsets array<bigint>, sub_c array<int>, map array<bigint>")
 
 
 def sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def maps_fit(n: Column, m: Column, a: str, b: str, percent: int) -> Column:
+    """False only if the parity maps differ in more bits than linked sets of n and m elements may."""
+    differ = F.lit(0)
+    for i in range(MAP_BITS // 64):
+        differ += F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
+    return differ <= n + m - 2 * F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+
+
 def subset_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) among small sets.
 
@@ -234,12 +246,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialise(named, "named")
     per_label = named.groupBy("key", "label").agg(F.count("*").alias("k"))
     common = per_label.groupBy("key").agg(F.max_by("label", "k").alias("common"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    mixed = named.join(common, "key")
-    few = mixed.filter("label <> common").select("key", F.col("doc_id").alias("src"), F.col("nc").alias("a"), F.col("label").alias("la"))
-    every = mixed.select("key", F.col("doc_id").alias("dst"), F.col("nc").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("common")).alias("usual"))
+    mixed = materialise(named.join(common, "key").join(reps.select("doc_id", "map"), "doc_id"), "mixed")
+    few = mixed.filter("label <> common").select("key", F.col("doc_id").alias("src"), F.col("nc").alias("a"), F.col("label").alias("la"), F.col("map").alias("ma"))
+    every = mixed.select("key", F.col("doc_id").alias("dst"), F.col("nc").alias("b"), F.col("label").alias("lb"), F.col("map").alias("mb"), (F.col("label") == F.col("common")).alias("usual"))
     n, m = F.floor(F.col("a") / 2), F.floor(F.col("b") / 2)
     core = F.when(n < m, F.col("a") % 2 == 1).when(n > m, F.col("b") % 2 == 1).otherwise((F.col("a") % 2 == 1) | (F.col("b") % 2 == 1))
-    second = few.join(every, "key").filter((F.col("la") != F.col("lb")) & (F.col("usual") | (F.col("src") < F.col("dst"))) & core & sizes_fit(n, m, percent) & (F.greatest(n, m) > small))
+    second = few.join(every, "key").filter((F.col("la") != F.col("lb")) & (F.col("usual") | (F.col("src") < F.col("dst"))) & core & sizes_fit(n, m, percent) & (F.greatest(n, m) > small) & maps_fit(n, m, "ma", "mb", percent))
     second = materialise(second.select("src", "dst").distinct(), "second").join(first, ["src", "dst"], "left_anti").join(first.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
     more = materialise(verified(second, texts, size, percent), "more")
     found = materialise(components(links.unionByName(more)), "components").withColumnRenamed("id", "rep")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.jaccard_join import near_components
 from millrace.llm.language_id import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_classifier import score_quality
 from millrace.llm.quality_rules import quality_rules
+from millrace.llm.substring_dedup import substring_dedup
 from millrace.llm.token_store import read_summaries, write_store
 from millrace.llm.url_filter import filter_urls
 from millrace.plans.scratch import new_path
@@ -25,6 +27,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -60,8 +66,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_url_filter, op4_bpe, op5_exact_dedup, op6_quality_rules, op7_token_store, op8_quality_classifier, op9_language_id)}
+    all_of_them = (
+        op1_substring_dedup, op2_mixing, op3_url_filter, op4_bpe, op5_exact_dedup, op6_quality_rules,
+        op7_token_store, op8_quality_classifier, op9_language_id, op10_jaccard_join,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
