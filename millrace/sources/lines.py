@@ -75,4 +75,4 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def phrasal_verbs(lines: DataFrame) -> DataFrame:
     """(verb, n_words, rest) from lines like carry_out; rest keeps its underscores."""
     v = F.regexp_replace("value", r"(?U)\s+$", "")
-    return lines.filter(v != "").select(F.substring_index(v, "_", 1).alias("verb"), F.size(F.split(v, "_")).alias("n_words"), F.expr("substr(value, instr(value, '_') + 1)").alias("rest"))
+    return lines.filter(v != "").select(F.substring_index(v, "_", 1).alias("verb"), F.size(F.split(v, "_")).alias("n_words"), F.substr(v, F.instr(v, "_") + 1).alias("rest"))
