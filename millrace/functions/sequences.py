@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of n words, each joined by a blank; none for a shorter array."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """All runs of n words, each joined by a blank; none for a shorter array.
+
+    Built by zipping the array with itself, shifted: words may be any expression, and is evaluated n
+    times, not once for each run.
+    """
+    grams = words
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(words, k, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.filter(grams, lambda x: x.isNotNull()) if n > 1 else words
 
 
 def ngrams_upto(words: Column, most: int) -> Column:

@@ -95,7 +95,7 @@ def strip_stops(c: Column) -> Column:
 
 def preprocess_records(records: DataFrame) -> DataFrame:
     """records with the first value preprocessed."""
-    return records.withColumn("values", F.concat(F.array(preprocess(F.get("values", F.lit(0)))), F.slice("values", 2, 2**31 - 1)))
+    return records.withColumn("values", F.concat(F.array(preprocess(F.get("values", F.lit(0)))), F.slice("values", 2, F.size("values"))))
 
 
 def prune_long(pairs: DataFrame, column: str = "tgt", most: int = 119) -> DataFrame:
