@@ -22,40 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import mix, word_hashes
+from millrace.llm.words import mix, run_hashes, running, word_hashes
 from millrace.plans.scratch import materialise
 
 WINDOW = 50
 GRAM = 18
 REACH = WINDOW - GRAM
-_A = 0x9E3779B97F4A7C15
-_INVERSE = pow(_A, -1, 1 << 64)
 
 
 class Runs:
     """Hashes of any run of words of one document, from running sums modulo 2**64."""
 
-    _powers = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
-
     def __init__(self, text: bytes):
         self.words = text.split()
-        n = len(self.words)
-        self._grow(n)
-        h = mix(word_hashes(self.words))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * Runs._powers[:n], out=self.sums[1:])
-
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._powers) < n + 1:
-            size = max(n + 1, 2 * len(cls._powers), 1024)
-            cls._powers = np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, _A, np.uint64)))
-            cls._inverse = np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, _INVERSE, np.uint64)))
+        self.sums = running(mix(word_hashes(self.words)))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * Runs._inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        return mix(run_hashes(self.sums, starts, ends) + (ends - starts).astype(np.uint64))
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.words import mix, run_hashes, running
 from millrace.plans.scratch import materialise
 
 #: A boundary falls where the hash of the last WINDOW ids has MASK bits clear.
 WINDOW, MASK, LEAST, MOST = 16, 0x3FF, 256, 8192
 END = 0
 _FACTOR = 0x9E3779B97F4A7C15
-_MOST_PIECES = 300_000
+#: Pieces in a generation of the table of known pieces; there are two.
+_MOST_PIECES = 400_000
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -37,13 +39,11 @@ def cut(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTOR)
-    mixed ^= mixed >> np.uint64(29)
-    rolling = np.zeros(n, np.uint64)
-    for k in range(WINDOW):  # a window's hash depends on its ids and their places in it alone
-        rolling[WINDOW - 1 :] += mixed[k : n - WINDOW + 1 + k] * np.uint64(pow(_FACTOR, k + 1, 1 << 64))
-    rolling ^= rolling >> np.uint64(32)
-    marks = np.flatnonzero((rolling & np.uint64(MASK)) == 0) + 1
+    sums = running(mix((ids.astype(np.uint64) + np.uint64(1))))
+    # the place that ends a window of WINDOW ids, by a hash of these ids and their order alone
+    rolling = run_hashes(sums, slice(0, n + 1 - WINDOW), slice(WINDOW, n + 1))
+    rolling = (rolling ^ (rolling >> np.uint64(32))) * np.uint64(_FACTOR) >> np.uint64(40)
+    marks = np.flatnonzero((rolling & np.uint64(MASK)) == 0) + WINDOW
     ends, start = [], 0
     for mark in marks.tolist():
         while mark - start > MOST:
@@ -74,7 +74,8 @@ class LibraryEncoder:
     """The tokenizers library, called once for each distinct piece.
 
     A byte-level BPE tokenizer encodes the pieces of its pre-tokenizer one by one, so the ids of a
-    text are those of its pieces. A bounded table keeps the ids of pieces met before.
+    text are those of its pieces. A bounded table of two generations keeps the ids of pieces
+    met before.
     """
 
     def __init__(self, file_text: str, splitter: re.Pattern, full_splitter):
@@ -83,24 +84,27 @@ class LibraryEncoder:
         self._tokenizer = Tokenizer.from_str(file_text)
         self._tokenizer.encode_special_tokens = True
         self._basic, self._make_full, self._full = splitter.findall, full_splitter, None
-        self._pieces: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str], astral: bool) -> Iterator[bytes]:
         """Packed 4-byte ids of each text."""
         if astral and self._full is None:
             self._full = self._make_full().findall
         split = self._full if astral else self._basic
-        for at in range(0, len(texts), 256):
-            pieces = [split(t) for t in texts[at : at + 256]]
-            known = self._pieces
-            new = list({p for parts in pieces for p in parts if p not in known})
-            if len(known) + len(new) > _MOST_PIECES:
-                known.clear()
-                new = list({p for parts in pieces for p in parts})
+        for at in range(0, len(texts), 128):
+            pieces = [split(t) for t in texts[at : at + 128]]
+            if len(self._young) >= _MOST_PIECES:
+                # pieces that come again move back into the young generation, the others go with the next change
+                self._old, self._young = self._young, {}
+            young, old = self._young, self._old
+            new = set().union(*pieces).difference(young)
+            young.update({p: old[p] for p in new if p in old})
+            new = [p for p in new if p not in young]
             for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                young[p] = np.array(e.ids, "<u4").tobytes()
             for parts in pieces:
-                yield b"".join(map(known.__getitem__, parts))
+                yield b"".join(map(young.__getitem__, parts))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
