@@ -36,6 +36,9 @@ from millrace.plans.scratch import materialise
 SKETCH = 1 << 18
 #: Bits of a set's parity map: the bits in which two maps differ are at most the elements in which the sets do.
 MAP_BITS = 512
+#: What comparing a list entry with its list's pivot costs at most, in subset rows. A pivot stands for
+#: the whole list, so the cost of an entry stops growing with the list.
+COMPARISON = 8
 #: The boundary is sought up to this size; larger sets have too many subsets for any corpus.
 MOST_SMALL = 30
 
@@ -56,7 +59,7 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     best, cost, least = 0, 0.0, 0.0
     for n in range(1, MOST_SMALL + 1):
         by_subsets = sum(math.comb(n, c) for c in subset_sizes(n, percent))
-        by_lists = (n - -(-percent * n // 100) + 1) * (1 + list_length)
+        by_lists = (n - -(-percent * n // 100) + 1) * (1 + min(list_length - 1, COMPARISON))
         cost += sizes.get(n, 0) * (by_subsets - by_lists)
         if cost < least or n == 1:
             best, least = n, cost
