@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import char_tokens, latin_originals, mark_latin, mark_numbers, number_originals, preprocess, restore, squeeze, to_half_width
 from millrace.operators.lm import BackoffModel
+from millrace.plans.scratch import materialise
 
 LONGEST, BEAM, UNKNOWN_TAG, UNKNOWN_PR = 15, 5, "Nb", -17.0
 CUTS = ";!?:。,"
@@ -60,15 +61,20 @@ def clauses(tokens: list[str]) -> list[list[str]]:
     return [c for c in out if c]
 
 
+def token_runs(toks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, zh): the distinct runs of up to LONGEST tokens of the arrays ``t``."""
+    starts = toks.filter(F.size("t") > 0).select(*keys, "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("t") - F.col("i") + 1)), lambda n: F.array_join(F.slice("t", F.col("i"), n), ""))
+    return starts.select(*keys, F.explode(runs).alias("zh")).distinct()
+
+
 def needed_phrases(lines: DataFrame, phrases: DataFrame, value: str = "value") -> DataFrame:
     """The phrases whose text occurs in some line: what a lookup table has to hold.
 
     Substrings of up to LONGEST tokens, distinct, in a semi-join on the phrase table.
     """
-    toks = lines.select(char_tokens(preprocess(F.col(value))).alias("t")).filter(F.size("t") > 0)
-    starts = toks.select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
-    runs = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("t") - F.col("i") + 1)), lambda n: F.array_join(F.slice("t", F.col("i"), n), ""))).alias("zh"))
-    return phrases.join(runs.distinct(), "zh", "left_semi")
+    toks = lines.select(char_tokens(preprocess(F.col(value))).alias("t"))
+    return phrases.join(token_runs(toks), "zh", "left_semi")
 
 
 def first_phrases(phrases: DataFrame, most: int = 21) -> DataFrame:
@@ -78,34 +84,49 @@ def first_phrases(phrases: DataFrame, most: int = 21) -> DataFrame:
     return best_per_group(phrases, ["zh"], [F.desc("pr"), F.col("zh_seg"), F.col("tag")], most)
 
 
+def table_of(rows: Iterable[Mapping]) -> dict[str, list[Hypothesis]]:
+    table: dict[str, list[Hypothesis]] = {}
+    for r in rows:
+        table.setdefault(r["zh"], []).append(Hypothesis(r["zh"], r["zh_seg"], r["tag"], r["tag"], r["pr"]))
+    return table
+
+
+def with_phrases(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """rows with _phrases: the phrases that occur in their _tokens. A line's list is bounded by its length."""
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "lines_to_tag")
+    hits = token_runs(rows.select("_row", F.col("_tokens").alias("t")), "_row").join(phrases, "zh")
+    lists = hits.groupBy("_row").agg(F.collect_list(F.struct("zh", "zh_seg", "tag", "pr")).alias("_phrases"))
+    return rows.join(lists, "_row", "left").drop("_row")
+
+
 def tag_lines(lines: DataFrame, phrases: DataFrame, lm: BackoffModel, value: str = "value", most_phrases: int = 3_000_000) -> DataFrame:
     """lines with zh, zh_seg, tag, tag_cat and pr; an empty line gets empty strings and 0.
 
-    Only phrases that occur in the lines are looked up, in a table that is sent to the executors; more than
-    ``most_phrases`` raise, and the lines should then be tagged in parts. Folding and placeholders are column
-    expressions; the search itself runs in an Arrow function.
+    Only phrases that occur in the lines are looked up, in a table that is sent to the executors. More than
+    ``most_phrases`` are joined to the lines instead: each line then brings its own table. Folding and placeholders
+    are column expressions; the search itself runs in an Arrow function.
     """
     spark = lines.sparkSession
-    rows = needed_phrases(lines, phrases, value).select("zh", "zh_seg", "tag", "pr").limit(most_phrases + 1).collect()
-    if len(rows) > most_phrases:
-        raise ValueError(f"more than {most_phrases} phrases")
-    table: dict[str, list[Hypothesis]] = {}
-    for r in rows:
-        table.setdefault(r["zh"], []).append(Hypothesis(r["zh"], r["zh_seg"], r["tag"], r["tag"], r["pr"]))
-    shared = spark.sparkContext.broadcast((table, lm))
+    needed = materialise(needed_phrases(lines, phrases, value).select("zh", "zh_seg", "tag", "pr"), "needed_phrases")
+    joined = needed.limit(most_phrases + 1).count() > most_phrases
+    shared = spark.sparkContext.broadcast(({} if joined else table_of(r.asDict() for r in needed.collect()), lm))
     folded = lines.withColumn("_folded", to_half_width(squeeze(F.col(value))))
     ready = folded.withColumn("_numbers", number_originals(F.col("_folded"))).withColumn("_marked", mark_numbers(F.col("_folded"))).withColumn("_latin", latin_originals(F.col("_marked"))).withColumn("_tokens", char_tokens(mark_latin(F.col("_marked"))))
     keep = [c for c in ready.columns if c not in ("_folded", "_marked", "_tokens")]
+    if joined:
+        ready = with_phrases(ready, needed)
     fields = [("zh", pa.string()), ("zh_seg", pa.string()), ("tag", pa.string()), ("tag_cat", pa.string()), ("pr", pa.float64())]
 
     def tagged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases_of, model = shared.value
         for batch in batches:
             out = []
-            for tokens in batch.column("_tokens").to_pylist():
+            own = batch.column("_phrases") if joined else None
+            for k, tokens in enumerate(batch.column("_tokens").to_pylist()):
+                known = phrases_of if own is None else table_of(own[k].as_py() or [])
                 whole = None
                 for clause in clauses(tokens or []):
-                    best = best_hypotheses(clause, phrases_of, model)[-1]
+                    best = best_hypotheses(clause, known, model)[-1]
                     whole = best if whole is None else whole.then(best)
                 out.append(whole or Hypothesis("", "", "", "", 0.0))
             cols = list(zip(*out, strict=True)) or [[]] * 5

@@ -311,10 +311,15 @@ def ibm1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.model_one(pairs, 2).select("s", "t", F.round("p", 6).alias("p"))
 
 
+#: Characters that stand for a to z in toktag, neither Latin nor numerals nor clause marks.
+UNSPACED = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地人和"
+
+
 @query()
 def toktag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = X.tokens(F.col("p_name"))
-    rows = read(spark, sf_dir, "part").select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.concat(F.lit("L"), F.length(w).cast("string"))).alias("tags"), F.replace("p_name", F.lit(" "), F.lit("")).alias("value"))
+    """Names as unspaced text, a character for each letter: Latin words would fold to one placeholder before the lookup."""
+    words = F.transform(X.tokens(F.col("p_name")), lambda w: F.translate(F.lower(w), "abcdefghijklmnopqrstuvwxyz", UNSPACED))
+    rows = read(spark, sf_dir, "part").select("p_partkey", words.alias("words"), F.transform(words, lambda w: F.concat(F.lit("L"), F.length(w).cast("string"))).alias("tags"), F.array_join(words, "").alias("value"))
     phrases = counting.phrase_counts(rows)
     model = lm.BackoffModel.collected(lm.kneser_ney(rows.select(F.col("tags").alias("words")), 3))
     return tagger.tag_lines(rows.select("p_partkey", "value"), tagger.first_phrases(phrases), model).drop("value")

@@ -260,6 +260,29 @@ def test_tagger(spark):
     assert spark.createDataFrame([got[0]]).select(T.cli_format("/").alias("v")).first().v.startswith("我/Nh 下/Nes 週/Nf")
 
 
+def test_tagger_beyond_its_limits(spark):
+    phrases = spark.createDataFrame([("我", "我", "Nh", -1.0), ("下週", "下 週", "Nes Nf", -2.0), ("下週", "下週", "Nd", -3.0), ("下", "下", "Nes", -9.0), ("去", "去", "D", -2.5)], "zh string, zh_seg string, tag string, pr double")
+    table = lm.kneser_ney(spark.createDataFrame([(["Nh", "Nes", "Nf", "D"],), (["Nh", "Nd"],), (["D"],)], "words array<string>"), 3)
+    rows = spark.createDataFrame([(1, "我下週１２去"), (2, ""), (3, "Ab,我"), (4, "去我,下週下"), (5, None), (6, "我下週１２去")], "i int, value string")
+    small, filed = lm.BackoffModel.collected(table), lm.BackoffModel.collected(table, 2)
+    for tags in ("Nh Nes Nf D", "Nd Nh", "never D D Nh", ""):
+        assert filed[tags] == small[tags]
+    want = tagger.tag_lines(rows, phrases, small).orderBy("i").collect()
+    assert want[3].zh_seg.startswith("去 我") and want[5][2:] == want[0][2:]
+    assert tagger.tag_lines(rows, phrases, filed, most_phrases=2).orderBy("i").collect() == want
+
+
+def test_toktag_reaches_the_lookup(spark, tmp_path):
+    from millrace.queries import UNSPACED, toktag
+
+    names = ["small ring", "red widget", "small widget", "ring", "Red bolt"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey int, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    back = str.maketrans(UNSPACED, "abcdefghijklmnopqrstuvwxyz")
+    got = {r.p_partkey: r for r in toktag(spark, str(tmp_path)).collect()}
+    assert {k: r.zh_seg.translate(back) for k, r in got.items()} == {k: n.lower() for k, n in enumerate(names)}
+    assert got[0].tag == "L5 L4" and got[3].tag == "L4" and all(r.pr > tagger.UNKNOWN_PR for r in got.values())
+
+
 def test_counting(spark):
     rows = spark.createDataFrame([(["A", "b", "B"], ["1", "2", "3"]), (["A", "B"], ["1", "3"])], "words array<string>, tags array<string>")
     counts = {(r.zh_seg, r.tag): (r["count"], r.pr) for r in counting.phrase_counts(rows).collect()}
