@@ -172,12 +172,14 @@ def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
 def same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """pairs (key, sha, old_id, new_id) whose two texts agree byte for byte: their key and sha.
 
-    One join brings the texts of just the rows that stand for a digest; each digest has two.
+    One join brings the texts of just the rows that stand for a digest; each digest has two. Rows are found
+    by id and digest: other texts can share the id, and null ids are many.
     """
-    ends = F.array(F.col("old_id"), F.col("new_id"))
+    ends = F.array_distinct(F.array(F.col("old_id"), F.col("new_id")))
     needed = pairs.select("key", "sha", F.explode(ends).alias("_id"))
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    texts = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).join(needed, F.col("_doc").eqNullSafe(F.col("_id")))
+    texts = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
+    texts = texts.join(needed, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("sha")))
     both = texts.groupBy("key", "sha").agg(F.min("_text").alias("_a"), F.max("_text").alias("_b"))
     return both.filter(F.col("_a") == F.col("_b")).select("key", "sha")
 

@@ -195,6 +195,20 @@ def test_exact_dedup(docs, rows, none):
     assert exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    # null ids and the repeated id 7 have several texts, each with copies of it in the snapshot and the batch
+    made = [(None, f"text {k}") for k in range(6)] + [(7, f"text {k}") for k in range(4, 9)] + [(100 + 10 * k + j, f"te xt{k}") for k in range(9) for j in range(4)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    groups = defaultdict(list)
+    for i, t in made:
+        groups[t.replace(" ", "")].append(i)
+    order = lambda i: -1 if i is None else i
+    want = Counter((i, min(g, key=order), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    for mark in (None, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)), F.col("doc_id").isNull()):
+        got = exact_dedup(docs, in_snapshot=mark).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 300, 20000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
