@@ -336,3 +336,26 @@ def test_pipeline(spark, docs, tmp_path):
         kept = out
     done = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in done.collect()) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_pipeline_on_clashing_columns(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    texts = {r[0]: r[1] for r in rows}
+    good = stages["quality rules"](spark, docs, path)
+    assert ids(good) == sorted(r.doc_id for r in quality_rules(docs).collect() if r.kept)
+    groups = defaultdict(list)
+    for i in ids(good):
+        groups["".join(words(texts[i]))].append(i)
+    unique = stages["exact dedup"](spark, good, path)
+    assert ids(unique) == sorted(min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in groups.values())
+    apart = stages["n-gram Jaccard join"](spark, unique, path)
+    mixed = stages["mixing sources to target weights"](spark, apart, path)
+    taken = {r.doc_id: r.copies for r in mix_sources(apart).collect()}
+    assert ids(mixed) == sorted(i for i, n in taken.items() for _ in range(n)) and mixed.columns == docs.columns
+    done = corpus_pipeline.run(spark, path).collect()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in done) == [(i, hashlib.sha256((texts[i] or "").encode()).hexdigest()) for i in ids(mixed)]
