@@ -5,9 +5,9 @@ passages give equal chunks wherever they stand. The store's folder holds three P
 
 chunks    digest, n_ids, ids      each distinct chunk once, ids as 2- or 4-byte little-endian integers
 recipes   doc_id, start, n_tokens, digests, root    in ascending doc_id order; root: Merkle root of digests
-manifest  part, first_id, n_docs, n_tokens, root    Merkle root of the recipes' roots of each part
+manifest  part, first_id, n_docs, n_tokens, root    Merkle root of each part's recipes: root, id, start and length, in order
 
-Reading verifies every chunk against its digest and every recipe against its root.
+Reading verifies every chunk against its digest, every recipe against its root and every part against the manifest.
 """
 
 from __future__ import annotations
@@ -191,24 +191,45 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
     placed = ranges.join(F.broadcast(parts), F.col("part") == F.col("_part")).withColumn("start", F.col("_offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed.select("part", "doc_id", "start", "n_tokens", "digests", "root").sortWithinPartitions("part", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    def sealed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts whole within a task: their roots, by running digest of the recipes' roots."""
-        state: dict[int, list] = {}
-        for batch in batches:
-            for part, doc_id, n, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                one = state.setdefault(part, [doc_id, 0, 0, hashlib.blake2b(digest_size=16)])
-                one[1] += 1
-                one[2] += n
-                one[3].update(root)
-        values = [(k, v[0], v[1], v[2], v[3].digest()) for k, v in state.items()]
-        types = [pa.int32(), batch_type, pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], t) for i, t in enumerate(types)], ["part", "first_id", "n_docs", "n_tokens", "root"])
+    sealed_parts(spark, path).write.parquet(f"{path}/manifest")
+
 
+def sealed_parts(spark: SparkSession, path: str) -> DataFrame:
+    """part, first_id, n_docs, n_tokens, root of each part, from the recipes. A part is whole within a task."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    batch_type = to_arrow_type(docs.schema[id_col].dataType)
     written = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "root", "start")
-    written.repartition(F.col("part")).sortWithinPartitions("part", "start").mapInArrow(sealed, f"part int, first_id {id_type}, n_docs bigint, n_tokens bigint, root binary").write.parquet(f"{path}/manifest")
+    id_type, arrow_id = written.schema["doc_id"].dataType.simpleString(), to_arrow_type(written.schema["doc_id"].dataType)
+
+    def sealed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(part, first_id, n_tokens, leaves):
+            values = [part, first_id, len(leaves), n_tokens, merkle(leaves)]
+            types = [pa.int32(), arrow_id, pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["part", "first_id", "n_docs", "n_tokens", "root"])
+
+        now, first_id, n_tokens, leaves = None, None, 0, []
+        for batch in batches:
+            for part, doc_id, n, root, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != now:
+                    if leaves:
+                        yield row(now, first_id, n_tokens, leaves)
+                    now, first_id, n_tokens, leaves = part, doc_id, 0, []
+                n_tokens += n
+                leaves.append(digest_of(root + f"{doc_id} {start} {n}".encode()))
+        if leaves:
+            yield row(now, first_id, n_tokens, leaves)
+
+    return written.repartition(F.col("part")).sortWithinPartitions("part", "start").mapInArrow(sealed, f"part int, first_id {id_type}, n_docs bigint, n_tokens bigint, root binary")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raise where the recipes are not those that the manifest was made of."""
+    names = ["part", "first_id", "n_docs", "n_tokens", "root"]
+    both = sealed_parts(spark, path).select(*names, F.lit(1).alias("side")).unionByName(spark.read.parquet(f"{path}/manifest").select(*names, F.lit(2).alias("side")))
+    # one row for each part of the shuffle
+    wrong = both.groupBy(*names).agg(F.sum("side").alias("sides"), F.count("*").alias("n")).filter("sides <> 3 or n <> 2")
+    if not wrong.isEmpty():
+        raise ValueError("the recipes do not match the manifest")
 
 
 def materialise_by_kind(rows: DataFrame) -> DataFrame:
@@ -281,6 +302,7 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     put together from its chunks', and its root is compared with the recipe's. A document's
     chunks meet in one row; the longest document bounds it.
     """
+    verify_manifest(spark, path)
     chunks = materialise(verified_chunks(spark, path), "verified")
     facts = recipe_entries(spark, path).join(chunks, "digest", "left").withColumn("fact", F.struct("seq", "digest", F.coalesce("n_ids", F.lit(-1)).alias("n"), "crc"))
     # the start tells rows apart that repeat an id
@@ -305,6 +327,7 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (array of int): every document put together from its chunks."""
+    verify_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", F.col("ids").alias("data"), "n_ids")
     facts = recipe_entries(spark, path).join(chunks, "digest").groupBy("start", "doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n_ids", "data"))).alias("facts"))
     id_type = facts.schema["doc_id"].dataType.simpleString()

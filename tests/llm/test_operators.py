@@ -209,6 +209,22 @@ def test_exact_dedup_of_null_and_repeated_ids(spark):
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
 
 
+def test_token_store_misses_recipes(spark, docs, rows):
+    path = new_path(spark, "store")
+    write_store(docs, vocabulary("byte_bpe_50k.json"), path)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    first, second = (r.doc_id for r in recipes.orderBy("start").limit(2).collect())
+    swapped = F.when(F.col("doc_id") == first, second).when(F.col("doc_id") == second, first).otherwise(F.col("doc_id"))
+    for k, changed in enumerate([recipes.filter(F.col("doc_id") != rows[7][0]), recipes.limit(0), recipes.union(recipes.limit(1)), recipes.withColumn("doc_id", swapped)]):
+        other = new_path(spark, f"changed{k}")
+        changed.write.parquet(f"{other}/recipes")
+        for name in ("chunks", "manifest"):
+            spark.read.parquet(f"{path}/{name}").write.parquet(f"{other}/{name}")
+        for read in (read_summaries, read_documents):
+            with pytest.raises(ValueError, match="manifest"):
+                read(spark, other).count()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 300, 20000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
