@@ -1,15 +1,18 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
-Reading a piece of text byte by byte, the transducer follows every token that might be under way.
+Any place of a piece may begin a token, so reading byte by byte, a set of nodes in the trie of tokens is
+under way. Determinising such sets gives one state for each node of the trie: the longest token part
+under way names its set, as the others are its suffixes. Transitions are made when first met.
+
 A token may follow another only if merging their bytes by rank gives back just these two, and the
-encoding of a prefix is an encoding of a shorter prefix and one token that may follow: so each
-byte determines one last token for the prefix it ends. A state holds, for each place where a
-token still under way began, its node in the trie of tokens and the tokens not yet agreed on; what
-all places agree on is emitted. The lookahead is bounded by the longest token.
-
-States and transitions are made when first met, as long as the table of states has room. From a
-state without a known transition in a full table, the piece is searched for the one path that the
-same relation allows, without making states: bounded memory, the same ids.
+encoding of a prefix is an encoding of a shorter prefix and one token that may follow: so among the
+tokens that end in a state, just one may follow what its place of beginning ended with. The
+transducer keeps that token for the places it may still need, the bytes of its lookahead. What all
+tokens under way agree on is emitted; the lookahead is bounded by the longest token, save where two
+encodings run on side by side.
+
+States are at most the trie's nodes; the tables of transitions and of pairs that may follow have
+bounds and start anew when full. Every piece goes through the transducer.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 
 #: White space of the Unicode property, as the pattern's \s means it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_MOST_STATES = 20_000
+#: Places kept before tokens that are agreed on are emitted.
+_LOOKAHEAD = 512
+_MOST_MOVES = 500_000
 _MOST_PIECES = 300_000
-_MOST_PAIRS = 1_000_000
+_MOST_PAIRS = 600_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -66,38 +71,38 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._child: dict[int, int] = {}  # node * 256 + byte: node
-        self._token: list[int] = [-1]  # of each node
-        self._inner: list[bool] = [False]  # whether a node has children
+        self._child: dict[int, int] = {}  # node << 8 | byte: node
+        self._token, self._parent, self._byte, self._depth = [-1], [0], [0], [0]  # of each node
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self._inner[node] = True
-                at = node * 256 + byte
-                node = self._child.get(at) or self._grow(at)
+                node = self._child.get(node << 8 | byte) or self._grow(node, byte)
             self._token[node] = rank
         self._size = {rank: len(token) for token, rank in ranks.items()}
-        #: of each token the longest token that is a proper prefix of it, or -1
-        self._shorter = {rank: next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1) for token, rank in ranks.items()}
         self._follows: dict[int, bool] = {}  # left token << 17 | right token
-        start = (-1, ((0, ()),))  # number 0
-        self._states, self._numbers = [start], {start: 0}
-        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._moves: dict[int, int] = {}  # state << 8 | byte: state
+        self._ends: dict[int, tuple[tuple[int, int], ...]] = {}  # of a state: size and rank of the tokens that end in it
+        self._suffix: dict[int, int] = {0: 0}  # of a node: that of its longest proper suffix
 
-    def _grow(self, at: int) -> int:
-        self._token.append(-1)
-        self._inner.append(False)
-        self._child[at] = len(self._token) - 1
-        return self._child[at]
+    def _grow(self, node: int, byte: int) -> int:
+        for of_node, value in ((self._token, -1), (self._parent, node), (self._byte, byte), (self._depth, self._depth[node] + 1)):
+            of_node.append(value)
+        self._child[node << 8 | byte] = len(self._token) - 1
+        return len(self._token) - 1
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE by definition: always the leftmost pair of the lowest rank. Quadratic; for token pairs."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        rank_of = self.ranks.get
+        costs = [rank_of(piece[i : i + 2], 1 << 60) for i in range(len(piece) - 1)]
+        while costs and (rank := min(costs)) < 1 << 60:
+            at = costs.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = rank_of(parts[at - 1] + parts[at], 1 << 60)
+            if at < len(costs):
+                costs[at] = rank_of(parts[at] + parts[at + 1], 1 << 60)
         return [self.ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
@@ -113,80 +118,67 @@ class Transducer:
             self._follows[left << 17 | right] = known
         return known
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes the transition from a state on a byte: the next state's number and what is emitted."""
-        tail, places = self._states[number]
-        alive, ended = [], None
-        for node, pending in places:
-            node = self._child.get(node * 256 + byte)
-            if node is None:
-                continue
-            token = self._token[node]
-            if ended is None and token >= 0 and self.follows(pending[-1] if pending else tail, token):
-                ended = (*pending, token)
-            if self._inner[node]:
-                alive.append((node, pending))
-        if ended is None:
-            raise ValueError(f"no token ends with byte {byte}")
-        alive.append((0, ended))
-        agreed = 0
-        shortest = min(len(pending) for _, pending in alive)
-        while agreed < shortest and all(pending[agreed] == ended[agreed] for _, pending in alive):
-            agreed += 1
-        state = (ended[agreed - 1] if agreed else tail, tuple((node, pending[agreed:]) for node, pending in alive))
-        if (to := self._numbers.get(state)) is None:
-            to = self._numbers[state] = len(self._states)
-            self._states.append(state)
-        self._moves[number << 8 | byte] = to, ended[:agreed]
-        return to, ended[:agreed]
-
-    def _search(self, piece: bytes) -> list[int]:
-        """The same path without states: at each place the longest token that may follow.
-
-        Where none leads on, the last token gives way to the next shorter one that is a prefix of
-        it; places found to lead nowhere are not tried again, so the search is linear in pairs.
-        """
-        child, tokens, known, shorter, size = self._child.get, self._token, self._follows.get, self._shorter, self._size
-        end, dead, out, ends, left, at = len(piece), set(), [], [], -1, 0
-        while at < end:
-            node, token = 0, -1
-            for byte in piece[at:]:
-                node = child(node << 8 | byte)
-                if node is None:
-                    break
-                if tokens[node] >= 0:
-                    token = tokens[node]
-            while True:
-                while token >= 0:
-                    if at + size[token] not in dead:
-                        fits = known(left << 17 | token)
-                        if fits or fits is None and self.follows(left, token):
-                            break
-                    token = shorter[token]
-                if token >= 0:
-                    break
-                dead.add(at)
-                token, at = shorter[out.pop()], ends.pop()
-                left = out[-1] if out else -1
-            out.append(token)
-            ends.append(at)
-            left, at = token, at + size[token]
-        return out
+    def _suffix_of(self, node: int) -> int:
+        if node not in self._suffix:
+            parent = self._parent[node]
+            self._suffix[node] = self._move(self._suffix_of(parent), self._byte[node]) if parent else 0
+        return self._suffix[node]
+
+    def _move(self, state: int, byte: int) -> int:
+        """Makes the transition from a state on a byte: the longest part that goes on, or the byte alone."""
+        node = state
+        while (to := self._child.get(node << 8 | byte)) is None:
+            if not node:
+                raise ValueError(f"no token for byte {byte}")
+            node = self._suffix_of(node)
+        if len(self._moves) >= _MOST_MOVES:
+            self._moves.clear()
+        self._moves[state << 8 | byte] = to
+        if to not in self._ends:
+            found, node = [], to
+            while node:
+                if self._token[node] >= 0:
+                    found.append((self._depth[node], self._token[node]))
+                node = self._suffix_of(node)
+            self._ends[to] = tuple(found)
+        return to
+
+    def _agreed(self, last: list[int], state: int) -> int:
+        """The furthest place that the encodings of all places under way go through."""
+        places = set(range(len(last) - 1 - self._depth[state], len(last)))
+        while len(places) > 1:
+            at = max(places)
+            places.remove(at)
+            places.add(at - self._size[last[at]])
+        return places.pop()
+
+    def _upto(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(last[at])
+            at -= self._size[last[at]]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        out, state, moves = [], 0, self._moves
-        room = len(self._states) < _MOST_STATES
+        out, last, state, room = [], [-1], 0, _LOOKAHEAD
+        moves, ends, known = self._moves.get, self._ends, self._follows.get
         for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if not room:
-                    return self._search(piece)
-                move = self._move(state, byte)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        out += self._states[state][1][-1][1]
-        return out
+            to = moves(state << 8 | byte)
+            state = self._move(state, byte) if to is None else to
+            # last[-size] is the last token before the place where a token of that size began
+            for size, token in ends[state]:
+                fits = known(last[-size] << 17 | token)
+                if fits or fits is None and self.follows(last[-size], token):
+                    break
+            else:
+                raise ValueError(f"no token ends with byte {byte}")
+            last.append(token)
+            if len(last) > room:
+                at = self._agreed(last, state)
+                out += self._upto(last, at)
+                last = last[at:]
+                room = len(last) + _LOOKAHEAD
+        return out + self._upto(last, len(last) - 1)
 
 
 class Encoder:
