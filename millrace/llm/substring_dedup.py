@@ -7,9 +7,10 @@ that share a passage share an anchor in it, at the same place. Documents meet on
 Extension: all windows that hold an anchor lie within REACH words of it to either side. Occurrences
 of an anchor with the same surroundings are one class, however many there are; a class takes the
 smallest document of its occurrences as the source of all its windows. Where an anchor has several
-classes, the windows around it are compared across the classes, both ways at once: window k reaches
-k words to the left and the rest to the right, and classes that agree on it have one hash for it. The
-windows found extend over neighbouring anchors into maximal repeats.
+classes, the seed is extended both ways at once: window k reaches k words to the left of the anchor and the
+rest to the right, and classes of the anchor that agree on it have one hash for it. A match thus
+takes 64 bits of the anchor's words and 64 of the window's, at the same place, so chance matches
+stay out at any size of corpus. The windows found extend over neighbouring anchors into maximal repeats.
 """
 
 from __future__ import annotations
@@ -96,12 +97,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def window_hashes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Windows around the anchor of each class: around, k (words to the left), window (hash), source.
+    """Windows around the anchor of each class: anchor, around, k (words to the left), window (hash), source.
 
     classes: anchor, around, left, right, source, at. Each source is read once for all its classes;
     their number is bounded by its length.
     """
-    asked = classes.groupBy("source").agg(F.collect_list(F.struct("around", "at", "left", "right")).alias("asked"))
+    asked = classes.groupBy("source").agg(F.collect_list(F.struct("anchor", "around", "at", "left", "right")).alias("asked"))
     texts = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).filter("source is not null and text is not null")
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -111,17 +112,17 @@ def window_hashes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: st
                 out = []
                 for n, (text, asked) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     runs = Runs(text)
-                    around, at, left, right = (np.array([a[f] for a in asked], np.int64) for f in ("around", "at", "left", "right"))
+                    anchor, around, at, left, right = (np.array([a[f] for a in asked], np.int64) for f in ("anchor", "around", "at", "left", "right"))
                     k = np.arange(REACH + 1)
                     row, k = np.nonzero((k <= left[:, None]) & (REACH - k <= right[:, None]))
                     start = at[row] - k
                     good = (start >= 0) & (start + WINDOW <= len(runs.words))  # an id that is repeated may bring another text
                     row, k, start = row[good], k[good], start[good]
-                    out.append((np.full(len(row), n), around[row], k, _long(runs.hashes(start, start + WINDOW))))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2]).cast(pa.int8()), pa.array(cols[3])], ["source", "around", "k", "window"])
+                    out.append((np.full(len(row), n), anchor[row], around[row], k, _long(runs.hashes(start, start + WINDOW))))
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]).cast(pa.int8()), pa.array(cols[4])], ["source", "anchor", "around", "k", "window"])
 
-    return asked.join(texts, "source").select("source", "text", "asked").mapInArrow(hashed, f"source {id_type}, around bigint, k tinyint, window bigint")
+    return asked.join(texts, "source").select("source", "text", "asked").mapInArrow(hashed, f"source {id_type}, anchor bigint, around bigint, k tinyint, window bigint")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,12 +138,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # across the classes of an anchor: the smallest document with the same window
     several = classes.filter("_classes > 1")
     windows = materialise(window_hashes(docs, several, id_col, text_col), "windows")
-    earliest = windows.groupBy("window").agg(F.min("source").alias("first"), F.max("source").alias("_most")).filter("first < _most").drop("_most")
+    shared = ["anchor", "k", "window"]
+    # a table of its own: the join with it can be split where a passage has very many surroundings
+    earliest = materialise(windows.groupBy(*shared).agg(F.min("source").alias("first"), F.max("source").alias("_most")).filter("first < _most").drop("_most"), "earliest")
     # for each class: the windows whose earliest document comes before the class's own source
-    across = windows.join(earliest, "window").filter("first < source").groupBy("around").agg(F.collect_list(F.struct("k", "first")).alias("across"))
+    across = windows.join(earliest, shared).filter("first < source").groupBy("anchor", "around").agg(F.collect_set("k").alias("across"))
     # occurrences after their class's source have all the windows their surroundings hold
     reach = "cast(aggregate(sequence(0, {r}), 0L, (m, k) -> if(k <= left and {r} - k <= right, m | shiftleft(1L, cast(k as int)), m)) as bigint)".format(r=REACH)
-    sources = materialise(classes.join(across, "around", "left").select("anchor", "around", "left", "right", "source", F.expr(reach).alias("whole"), F.expr("aggregate(coalesce(across, array()), 0L, (m, x) -> m | shiftleft(1L, cast(x.k as int)))").alias("before"), F.coalesce("last", "source").alias("last")).filter("last > source or before <> 0"), "sources")
+    sources = materialise(classes.join(across, ["anchor", "around"], "left").select("anchor", "around", "left", "right", "source", F.expr(reach).alias("whole"), F.expr("aggregate(coalesce(across, array()), 0L, (m, k) -> m | shiftleft(1L, cast(k as int)))").alias("before"), F.coalesce("last", "source").alias("last")).filter("last > source or before <> 0"), "sources")
     hits = found.join(sources, ["anchor", "around", "left", "right"])
     # an occurrence in the source itself can only repeat what other classes have from before it
     mask = F.when(F.col("doc_id") > F.col("source"), F.col("whole")).otherwise(F.col("before"))
