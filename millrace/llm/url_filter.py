@@ -49,10 +49,14 @@ def _characters(url: Column) -> Column:
     return F.concat(F.lit("^" * (ORDER - 1)), folded, F.lit("$"))
 
 
-def _grams(df: DataFrame) -> DataFrame:
-    """A row for each n-gram of 1 to ORDER characters that ends in or after the URL's first."""
-    ends = F.sequence(F.lit(ORDER), F.length("_chars"))
-    return df.withColumn("_end", F.explode(ends)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).withColumn("_gram", F.substring(F.col("_chars"), F.col("_end") - F.col("_k") + 1, F.col("_k")))
+def _grams(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep and _gram: a row for each n-gram of 1 to ORDER characters that ends in or after the URL's first.
+
+    Characters are split off once and rows don't carry the URL, so a URL costs in proportion to its length.
+    """
+    gram = lambda k: " || ".join(f"_c[e - {j}]" for j in range(k, 0, -1))
+    every = F.expr(f"flatten(transform(sequence({ORDER}, size(_c)), e -> array({', '.join(gram(k) for k in range(1, ORDER + 1))})))")
+    return df.withColumn("_c", F.split("_chars", "")).select(*keep, F.explode(every).alias("_gram"))
 
 
 def gram_weights(examples: DataFrame) -> tuple[DataFrame, float]:
@@ -63,7 +67,7 @@ def gram_weights(examples: DataFrame) -> tuple[DataFrame, float]:
     plus B(g), as a context of the next character. Summed over a URL, this gives for each
     character L of its longest known n-gram plus B of the longer known contexts.
     """
-    counts = _grams(examples).groupBy("_gram").agg(F.count_if(F.col("_good")).alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
+    counts = _grams(examples, "_good").groupBy("_gram").agg(F.count_if(F.col("_good")).alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
     counts = materialise(counts.withColumn("_context", F.expr("left(_gram, length(_gram) - 1)")), "grams")
     contexts = counts.groupBy("_context").agg(F.sum("_g").alias("_ng"), F.count_if(F.col("_g") > 0).alias("_tg"), F.sum("_b").alias("_nb"), F.count_if(F.col("_b") > 0).alias("_tb"))
     down = lambda n, t: F.when(F.col(n) > 0, F.col(t) / (F.col(n) + F.col(t))).otherwise(1.0)
@@ -89,11 +93,12 @@ def gram_weights(examples: DataFrame) -> tuple[DataFrame, float]:
 
 
 def scored(urls: DataFrame, weights: DataFrame, constant: float, broadcast_rows: int) -> DataFrame:
-    """urls (one row per ``_chars``) with ``score``: log-likelihood difference per character."""
+    """(_id, score) of urls (_id, _chars): log-likelihood difference per character."""
     small = weights.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hits = _grams(urls).join(F.broadcast(weights) if small else weights, "_gram", "left")
-    length = F.first(F.length("_chars")) - (ORDER - 1)
-    return hits.groupBy("_chars").agg((F.sum(F.coalesce("_weight", F.lit(0.0))) / length + F.lit(constant)).alias("score"))
+    sized = urls.withColumn("_length", F.length("_chars") - (ORDER - 1))
+    hits = _grams(sized, "_id", "_length").join(F.broadcast(weights) if small else weights, "_gram", "left")
+    length = F.first("_length")
+    return hits.groupBy("_id").agg((F.sum(F.coalesce("_weight", F.lit(0.0))) / length + F.lit(constant)).alias("score"))
 
 
 def _threshold(examples: DataFrame) -> float:
@@ -120,18 +125,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = host_and_path(F.col("_url"))
     base = base.withColumn("host", host).withColumn("path", path)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": name, "_said": verdict, "_chars": _characters(F.col("_url"))})
+    base = base.withColumns({"rule": name, "_said": verdict, "_chars": _characters(F.col("_url"))}).withColumn("_id", F.md5("_chars"))
     # equal URLs are counted and scored once
-    distinct = base.filter("_url is not null").groupBy("_chars", "_said").agg(F.count("*").alias("_n"))
+    distinct = base.filter("_url is not null").groupBy("_id", "_chars", "_said").agg(F.count("*").alias("_n"))
     distinct = materialise(distinct.withColumn("_good", F.col("_said") == "allow").withColumn("_held", F.pmod(F.xxhash64("_chars"), F.lit(5)) == 0), "urls")
     examples = distinct.filter("_said is not null")
     weights, constant = gram_weights(examples.filter(~F.col("_held")))
     both = examples.agg(F.count_if(F.col("_good")).alias("g"), F.count_if(~F.col("_good")).alias("b")).first()
     if not (both["g"] and both["b"]):
         return base.select("page_id", "host", "path", "rule", F.coalesce("_said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    scores = materialise(scored(distinct.filter("_said is null or _held").select("_chars").distinct(), weights, constant, broadcast_rows), "scores")
-    threshold = _threshold(examples.filter("_held").join(scores, "_chars"))
+    scores = materialise(scored(distinct.filter("_said is null or _held").select("_id", "_chars").distinct(), weights, constant, broadcast_rows), "scores")
+    threshold = _threshold(examples.filter("_held").join(scores, "_id"))
     known = base.filter("_said is not null or _url is null").withColumn("score", F.lit(None).cast("double"))
-    judged = base.filter("_said is null and _url is not null").join(scores, "_chars", "left")
+    judged = base.filter("_said is null and _url is not null").join(scores, "_id", "left")
     out = known.unionByName(judged)
     return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("score") < F.lit(threshold), "block").otherwise("allow")).alias("verdict"), "score")
