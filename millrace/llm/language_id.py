@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.sampling import fold, sample_by_class
+from millrace.llm.sampling import fold, order_of, sample_by_class, within_bytes
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -122,9 +122,12 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float =
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_from: Column, per_language: int) -> LanguageModel | None:
-    """A model of a sample of about per_language documents of each language; None without any."""
-    known = docs.select(id_col, text_col, lang_col).filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = sorted(sample_by_class(known, id_col, lang_col, per_language).collect(), key=lambda r: (str(r[0]), r[1]))
+    """A model of a sample of about per_language documents of each language, within the bytes that sampling.py names; None without any."""
+    known = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    sample = sample_by_class(known.select("_id", "_lang", F.octet_length("_text").alias("_bytes")), "_id", "_lang", per_language)
+    # at most sampling.MOST_ROWS ids, or one for each language
+    chosen = F.broadcast(within_bytes(sample, "_id", "_lang").distinct())
+    rows = sorted(known.join(chosen, ["_id", "_lang"]).select("_id", "_text", "_lang").collect(), key=lambda r: (order_of(r[0]), r[1], r[2]))
     return train([r[1].encode() for r in rows], [r[2] for r in rows]) if rows else None
 
 
@@ -134,7 +137,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     The model learns from the text and non-null language of documents outside the held fold; its
     size is fixed, so it is sent to the executors as it is. A text that is null or has no letter
     is ``und`` with score 0, as is any text if there was nothing to learn from. The whole text is
-    scored, in its own row. An empty table gives an empty result.
+    scored, in its own row. Repeated rows get the same prediction; of languages that tie, the first by
+    code point is predicted. An empty table gives an empty result.
     """
     held = fold(id_col, folds) == held_fold
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, ~held, per_language))

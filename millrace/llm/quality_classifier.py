@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.sampling import fold, sample_by_class
+from millrace.llm.sampling import fold, order_of, sample_by_class, within_bytes
 
 FILTERS, WIDTH, STEP, HIDDEN = 16, 6, 2, 16
 #: Chunks of LENGTH bytes begin every ADVANCE bytes.
@@ -85,8 +85,8 @@ class Network:
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, most_chunks: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Network:
     """Adam on the log loss; weights undo the sampling of classes when Platt scaling is fitted.
 
-    In an epoch, a text longer than most_chunks chunks takes part with that many, drawn at random. One
-    text in eight is kept for the scaling.
+    In an epoch, a text longer than most_chunks chunks takes part with that many, drawn anew at random from
+    all of it. One text in eight is kept for the scaling, which scores it whole.
     """
     rng = np.random.default_rng(seed)
     f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -150,13 +150,15 @@ def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn_from: Column, per_class: int) -> Network | None:
-    """A network of a sample of about per_class documents of each class; None unless there are both."""
+    """A network of a sample of about per_class documents of each class, within the bytes that sampling.py names; None unless there are both."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1)).withColumnRenamed("_id", id_col).filter(learn_from)
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    # about 2 * per_class ids
+    # about 2 * per_class ids, first with the sizes of their texts
     sample = F.broadcast(sample_by_class(known, id_col, "_label", per_class))
-    rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(sample, id_col).collect()
-    rows = sorted(rows, key=lambda r: (hash((r[0],)), r[0], r[2]))
+    given = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    chosen = within_bytes(given.select(id_col, F.octet_length(text_col).alias("_bytes")).join(sample, id_col), id_col, "_label")
+    rows = given.join(F.broadcast(chosen.distinct()), id_col).collect()
+    rows = sorted(rows, key=lambda r: (order_of(r[0]), r[2], r[1]))
     if len({r[2] for r in rows}) < 2:
         return None
     y = np.array([r[2] for r in rows], np.float64)
@@ -174,7 +176,9 @@ def score_quality(
     The network learns from labelled documents outside the held fold; its size is fixed, so it is
     sent to the executors as it is. A null text counts as empty and is scored as one chunk of zero
     bytes. Every score is 0.5 if the labels don't show both classes. Labels of documents that
-    don't exist, or that are neither 0 nor 1, are not used. The whole text is scored, in its row.
+    don't exist, or that are neither 0 nor 1, are not used; of a label given twice each row counts.
+    The whole text is scored, in its row, however long; repeated rows get the same score, and an
+    empty table gives an empty result.
     """
     held = fold(id_col, folds) == held_fold
     net = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, ~held, per_class))
