@@ -22,3 +22,9 @@ def attach(df: DataFrame, small: DataFrame, key: str, how: str = "inner", broadc
     small = small.withColumn("_small_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return salted.join(small, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_small_salt")), how).drop("_key", "_salt", "_small_salt")
+
+
+def restrict(df: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df whose key is among keys (distinct, cheap to count), broadcast up to broadcast_rows."""
+    small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
