@@ -11,8 +11,12 @@ What keeps large groups of copies cheap, without losing a link between different
 * equal sets are one class from the start;
 * in a first round, each set of a list is compared with one pivot only;
 * in a second round, only sets of different components in a list are compared: those outside the
-  list's most common component with all of the list, and of those only pairs whose parity maps
-  don't rule a link out.
+  list's most common component with all of the list.
+
+Before sets are compared, parity maps rule out most pairs: bit i of a map is the parity of the number of
+elements that hash to i, so two maps differ in no more bits than their sets in elements. Every set has
+a small map of fixed size, and a full one in proportion to its size. What is left is compared element by
+element, by Spark, one pair a row.
 
 Rarity is estimated by a count sketch of fixed width over all documents. It only orders the shingles: any
 order gives the same links.
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import shingles, word_hashes
 from millrace.plans.components import components
+from millrace.plans.lookup import restrict
 from millrace.plans.scratch import materialise
 
 SKETCH = 1 << 18
-#: Bits of a set's parity map: the bits in which two maps differ are at most the elements in which the sets do.
+#: Bits of a set's small parity map.
 MAP_BITS = 512
 #: What comparing a list entry with its list's pivot costs at most, in subset rows. A pivot stands for
 #: the whole list, so the cost of an entry stops growing with the list.
@@ -71,6 +76,16 @@ def set_of(text: bytes, size: int) -> np.ndarray:
     return shingles(word_hashes(text.lower().split()), size)
 
 
+def parity_map(s: np.ndarray, bits: int) -> np.ndarray:
+    """A map of as many bits, a power of two. The xor of the halves of a map is the map of half as many bits."""
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1).view(np.int64)
+
+
+def full_bits(n: int) -> int:
+    """Bits of the full map of a set: between n and 2n, MAP_BITS at least."""
+    return max(MAP_BITS, 1 << n.bit_length())
+
+
 def sketch_of(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, dict[int, int]]:
     """How often the shingles of each of SKETCH buckets occur, and how many small sets have each size.
 
@@ -125,8 +140,9 @@ def _subsets(s: np.ndarray, percent: int) -> list[int]:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, counts: np.ndarray, small: int) -> DataFrame:
-    """doc_id, n, sig_a, sig_b, keys (list entries; the first ``core`` serve larger sets), subsets, sub_c, map."""
-    ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint64))
+    """doc_id, n, sig_a, sig_b, keys (list entries; the first ``core`` serve larger sets), subsets, sub_c, map, full."""
+    # ranks have 24 bits whatever the counts: their logarithms, to a few millionths
+    ranks = docs.sparkSession.sparkContext.broadcast((np.log2(counts + 1.0) * (1 << 18)).astype(np.uint64))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def of(text: bytes) -> tuple:
@@ -135,8 +151,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         digest = xxhash.xxh3_128_digest(s.tobytes())
         sig = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
         if n == 0:
-            return 0, *sig, 0, [], [], [], []
-        parity = np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1).view(np.int64)
+            return 0, *sig, 0, [], [], [], [], []
         pairs = _subsets(s, percent) if n <= small else []
         keys, core = np.zeros(0, np.int64), 0
         if n > small or 100 * n >= percent * (small + 1):
@@ -147,30 +162,45 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             # elements that tie with the last are taken too: the order has no other tie rule
             keys = s[first[: np.searchsorted(order[first], last, "right")]].view(np.int64)
             core = int(np.searchsorted(order[first], last_core, "right"))
-        return n, *sig, core, keys, [k for _, k in pairs], [c for c, _ in pairs], parity
+        return n, *sig, core, keys, [k for _, k in pairs], [c for c, _ in pairs], parity_map(s, MAP_BITS), parity_map(s, full_bits(n))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, max(1, whole.num_rows), 1000)):
                 got = [of(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                cols = list(zip(*got, strict=True)) or [[]] * 8
+                cols = list(zip(*got, strict=True)) or [[]] * 9
                 longs = pa.list_(pa.int64())
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.list_(pa.int32()), longs]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n", "sig_a", "sig_b", "core", "keys", "subsets", "sub_c", "map"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.list_(pa.int32()), longs, longs]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n", "sig_a", "sig_b", "core", "keys", "subsets", "sub_c", "map", "full"])
 
-    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {id_type}, n bigint, sig_a bigint, sig_b bigint, core int, keys array<bigint>, subsets array<bigint>, sub_c array<int>, map array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {id_type}, n bigint, sig_a bigint, sig_b bigint, core int, keys array<bigint>, subsets array<bigint>, sub_c array<int>, map array<bigint>, full array<bigint>")
 
 
 def sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def most_apart(n: Column, m: Column, percent: int) -> Column:
+    """Elements in which linked sets of n and m elements may differ at most."""
+    return n + m - 2 * F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+
+
 def maps_fit(n: Column, m: Column, a: str, b: str, percent: int) -> Column:
-    """False only if the parity maps differ in more bits than linked sets of n and m elements may."""
+    """False only if the small maps rule out that sets of n and m elements link."""
     differ = F.lit(0)
     for i in range(MAP_BITS // 64):
         differ += F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
-    return differ <= n + m - 2 * F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
+    return differ <= most_apart(n, m, percent)
+
+
+def not_ruled_out(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) whose full maps allow a link. The larger map is folded to the smaller."""
+    one = maps.select(F.col("doc_id").alias("src"), "n", F.col("full").alias("_a"))
+    two = maps.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"), F.col("full").alias("_b"))
+    folded = "if(size({0}) = _l, {0}, transform(sequence(0, _l - 1), i -> aggregate(sequence(i, size({0}) - 1, _l), 0L, (x, j) -> x ^ {0}[j])))"
+    differ = F.expr(f"aggregate(zip_with({folded.format('_a')}, {folded.format('_b')}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
+    joined = pairs.join(one, "src").join(two, "dst").withColumn("_l", F.least(F.size("_a"), F.size("_b")))
+    return joined.filter(differ <= most_apart(F.col("n"), F.col("m"), percent)).select("src", "dst").distinct()
 
 
 def subset_links(reps: DataFrame, percent: int) -> DataFrame:
@@ -186,30 +216,25 @@ def subset_links(reps: DataFrame, percent: int) -> DataFrame:
     return links.select(F.col("doc_id").alias("src"), "dst").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose sets link. texts: doc_id, text of every document in a pair.
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) whose sets link. docs: doc_id, text.
 
-    Each row brings its two texts, so no task holds more than a batch of pairs, whatever the degree of
-    a document.
+    Only the sets of documents in a pair are made, each once, and the elements that two sets share are
+    counted row by row: a task holds the sets of a pair, however many pairs a document has.
     """
-    one = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("text_b"))
     id_type = pairs.schema["src"].dataType.simpleString()
 
-    def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if b != last:
-                    last, last_set = b, set_of(b, size)
-                s = set_of(a, size)
-                shared = len(np.intersect1d(s, last_set, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(s) + len(last_set) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["src", "dst"])
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 200) for k in range(0, max(1, whole.num_rows), 200)):
+                sets = [set_of(t.as_buffer().to_pybytes(), size).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
 
-    joined = pairs.join(one, "src").join(two, "dst").select("src", "dst", "text_a", "text_b")
-    return joined.mapInArrow(checked, f"src {id_type}, dst {id_type}")
+    members = materialise(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "members")
+    sets = materialise(restrict(docs, members, "doc_id").mapInArrow(made, f"doc_id {id_type}, s array<bigint>"), "sets")
+    one, two = sets.select(F.col("doc_id").alias("src"), F.col("s").alias("_a")), sets.select(F.col("doc_id").alias("dst"), F.col("s").alias("_b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(one, "src").join(two, "dst").filter(shared * 100 >= (F.size("_a") + F.size("_b") - shared) * percent).select("src", "dst")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -229,18 +254,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(sets.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
+    # a table of its own: joins with it can be split where a pivot has many pairs
+    maps = materialise(reps.select("doc_id", "n", "full"), "maps")
+
     small_links = materialise(subset_links(reps, percent), "small_links")
 
     # lists with at least two sets; the smaller set of a pair serves by its core entries alone
     entries = reps.select("doc_id", "n", F.posexplode("keys").alias("at", "key"), "core").select("key", "doc_id", (F.col("n") * 2 + (F.col("at") < F.col("core")).cast("int")).alias("nc"))
     lists = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.min_by("nc", "doc_id").alias("pivot_nc"), F.max("doc_id").alias("_most")).filter("pivot < _most").drop("_most")
     shared = materialise(entries.join(lists, "key"), "shared")
-    members = shared.select("doc_id").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(members, "doc_id", "left_semi")
-    texts = materialise(texts, "texts")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
 
     n, m = F.floor(F.col("nc") / 2), F.floor(F.col("pivot_nc") / 2)
     first = shared.filter("doc_id <> pivot").filter(sizes_fit(n, m, percent) & (F.greatest(n, m) > small)).select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst")).distinct()
+    first = materialise(not_ruled_out(first, maps, percent), "first")
     links = materialise(verified(first, texts, size, percent), "links").unionByName(small_links)
     labels = materialise(components(links), "labels").withColumnRenamed("id", "doc_id")
 
@@ -255,7 +282,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, m = F.floor(F.col("a") / 2), F.floor(F.col("b") / 2)
     core = F.when(n < m, F.col("a") % 2 == 1).when(n > m, F.col("b") % 2 == 1).otherwise((F.col("a") % 2 == 1) | (F.col("b") % 2 == 1))
     second = few.join(every, "key").filter((F.col("la") != F.col("lb")) & (F.col("usual") | (F.col("src") < F.col("dst"))) & core & sizes_fit(n, m, percent) & (F.greatest(n, m) > small) & maps_fit(n, m, "ma", "mb", percent))
-    second = materialise(second.select("src", "dst").distinct(), "second").join(first, ["src", "dst"], "left_anti").join(first.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+    second = not_ruled_out(second.select("src", "dst").distinct(), maps, percent)
+    seen = first.select("src", "dst").union(first.select("dst", "src"))
+    second = materialise(second.join(seen, ["src", "dst"], "left_anti"), "second")
     more = materialise(verified(second, texts, size, percent), "more")
     found = materialise(components(links.unionByName(more)), "components").withColumnRenamed("id", "rep")
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _A = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 500_000
+_MOST_WORDS = 200_000
 
 
 class _Words(dict):
