@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Places kept before tokens that are agreed on are emitted.
 _LOOKAHEAD = 512
-_MOST_MOVES = 500_000
+_MOST_MOVES = 200_000
 _MOST_PIECES = 300_000
-_MOST_PAIRS = 600_000
+_MOST_PAIRS = 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -202,8 +202,8 @@ class Encoder:
         self._pieces = Pieces()
 
     def encode(self, text: str, astral: bool = True) -> bytes:
-        """astral: whether the text may hold characters beyond the basic plane."""
-        if astral and not text.isascii():
+        """astral: whether the text may hold characters beyond the basic plane; few do, and splitting them is slow."""
+        if astral and goes_beyond(text):
             if self._full is None:
                 self._full = splitter(astral=True).findall
             return b"".join(map(self._pieces.__getitem__, self._full(text)))
@@ -273,6 +273,11 @@ def encoder_for(ranks: bytes) -> Encoder:
     return _ENCODERS[name]
 
 
+def goes_beyond(text: str) -> bool:
+    """Whether a text holds characters beyond the basic plane, whose UTF-8 begins with F0 to F4."""
+    return not text.isascii() and any(lead in data for data in [text.encode()] for lead in (b"\xf0", b"\xf1", b"\xf2", b"\xf3", b"\xf4"))
+
+
 def has_astral(texts: pa.Array) -> bool:
     """Whether any string of an Arrow array goes beyond the basic plane (a lead byte of F0 or more)."""
     data = texts.buffers()[-1]
