@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.words import mix, run_hashes, running
+from millrace.llm.bpe import goes_beyond, has_astral, splitter
+from millrace.llm.words import mix
 from millrace.plans.scratch import materialise
 
 #: A boundary falls where the hash of the last WINDOW ids has MASK bits clear.
 WINDOW, MASK, LEAST, MOST = 16, 0x3FF, 256, 8192
 END = 0
 _FACTOR = 0x9E3779B97F4A7C15
-#: Pieces in a generation of the table of known pieces; there are two.
-_MOST_PIECES = 400_000
+_OF_ID = mix(np.arange(1, 1 + (1 << 16), dtype=np.uint64))
+_MOST_PIECES = 600_000
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -39,10 +41,10 @@ def cut(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    sums = running(mix((ids.astype(np.uint64) + np.uint64(1))))
-    # the place that ends a window of WINDOW ids, by a hash of these ids and their order alone
-    rolling = run_hashes(sums, slice(0, n + 1 - WINDOW), slice(WINDOW, n + 1))
-    rolling = (rolling ^ (rolling >> np.uint64(32))) * np.uint64(_FACTOR) >> np.uint64(40)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_OF_ID[ids & 0xFFFF], out=sums[1:])
+    # at the place that ends a window, a hash of the sum over its ids, and so of these ids alone
+    rolling = (sums[WINDOW:] - sums[:-WINDOW]) * np.uint64(_FACTOR) >> np.uint64(40)
     marks = np.flatnonzero((rolling & np.uint64(MASK)) == 0) + WINDOW
     ends, start = [], 0
     for mark in marks.tolist():
@@ -70,41 +72,57 @@ def digest_of(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level tokenizers use for each byte: printable Latin-1 for itself, the others from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xA0 and b != 0xAD]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class LibraryEncoder:
     """The tokenizers library, called once for each distinct piece.
 
-    A byte-level BPE tokenizer encodes the pieces of its pre-tokenizer one by one, so the ids of a
-    text are those of its pieces. A bounded table of two generations keeps the ids of pieces
-    met before.
+    A byte-level BPE tokenizer hands the pieces of its pre-tokenizer to its model one by one, so the ids of a
+    text are those of its pieces. The ids of pieces met before are kept in a bounded table. Texts that
+    hold the string of an added token go through the library as they are, and so does every text if
+    the tokenizer is of another kind.
     """
 
-    def __init__(self, file_text: str, splitter: re.Pattern, full_splitter):
+    def __init__(self, file_text: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(file_text)
-        self._tokenizer.encode_special_tokens = True
-        self._basic, self._make_full, self._full = splitter.findall, full_splitter, None
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str], astral: bool) -> Iterator[bytes]:
-        """Packed 4-byte ids of each text."""
-        if astral and self._full is None:
-            self._full = self._make_full().findall
-        split = self._full if astral else self._basic
-        for at in range(0, len(texts), 128):
-            pieces = [split(t) for t in texts[at : at + 128]]
-            if len(self._young) >= _MOST_PIECES:
-                # pieces that come again move back into the young generation, the others go with the next change
-                self._old, self._young = self._young, {}
-            young, old = self._young, self._old
-            new = set().union(*pieces).difference(young)
-            young.update({p: old[p] for p in new if p in old})
-            new = [p for p in new if p not in young]
-            for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                young[p] = np.array(e.ids, "<u4").tobytes()
-            for parts in pieces:
-                yield b"".join(map(young.__getitem__, parts))
+        setup = json.loads(file_text)
+        before = setup.get("pre_tokenizer") or {}
+        self._by_piece = setup.get("normalizer") is None and setup["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._basic, self._full = splitter().findall, None
+        tokenize, characters = self._tokenizer.model.tokenize, _byte_characters()
+        #: bytes of an id, and their code in arrays
+        self.width, code = (2, "H") if self._tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        self._pack = lambda ids: array(code, ids).tobytes()
+        pack, blank = self._pack, characters[0x20]
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                if len(self) >= _MOST_PIECES:
+                    self.clear()
+                plain = piece.isascii() and piece.isprintable()
+                packed = pack([t.id for t in tokenize(piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(characters))])
+                if len(piece) < 64:
+                    self[piece] = packed
+                return packed
+
+        self._ids_of = Pieces().__getitem__
+
+    def encode(self, text: str, astral: bool = True) -> bytes:
+        """Ids packed in ``width`` bytes each. astral: whether the text may hold characters beyond the basic plane."""
+        if not self._by_piece or any(t in text for t in self._added):
+            return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        if astral and goes_beyond(text):
+            if self._full is None:
+                self._full = splitter(astral=True).findall
+            return b"".join(map(self._ids_of, self._full(text)))
+        return b"".join(map(self._ids_of, self._basic(text)))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -113,10 +131,8 @@ _ENCODERS: dict[str, LibraryEncoder] = {}
 def _encoder(file_text: str) -> LibraryEncoder:
     name = hashlib.sha256(file_text.encode()).hexdigest()
     if name not in _ENCODERS:
-        from millrace.llm.bpe import splitter
-
         _ENCODERS.clear()
-        _ENCODERS[name] = LibraryEncoder(file_text, splitter(), lambda: splitter(astral=True))
+        _ENCODERS[name] = LibraryEncoder(file_text)
     return _ENCODERS[name]
 
 
@@ -124,10 +140,9 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
     """Encode every whole text, append END, and write the store to a new folder.
 
     A null text counts as empty: its stream is END alone. Rows that repeat an id follow one another
-    in an arbitrary but harmless order. An empty table gives an empty store.
+    in an arbitrary but harmless order. The string of an added token, such as an end mark, becomes that
+    token's id, as the library has it. An empty table gives an empty store.
     """
-    from millrace.llm.bpe import has_astral
-
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         file_text = spark.sparkContext.broadcast(f.read())
@@ -136,17 +151,17 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one for each chunk that this task hasn't met yet."""
         encoder, met = _encoder(file_text.value), set()
-        narrow = encoder._tokenizer.get_vocab_size() <= 1 << 16
+        width, end_mark = encoder.width, END.to_bytes(encoder.width, "little")
         for whole in batches:
             for batch in (whole.slice(k, 500) for k in range(0, max(1, whole.num_rows), 500)):
                 chunks: list[tuple[bytes, int, bytes]] = []
                 recipes = []
-                for ids in encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()], has_astral(batch.column(1))):
-                    stream = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
+                astral = has_astral(batch.column(1))
+                for text in batch.column(1):
+                    stream = encoder.encode(text.as_py() or "", astral) + end_mark
                     digests, start = [], 0
-                    for end in cut(stream):
-                        piece = stream[start:end]
-                        data = piece.astype("<u2").tobytes() if narrow else piece.astype("<u4").tobytes()
+                    for end in cut(np.frombuffer(stream, f"<u{width}")):
+                        data = stream[start * width : end * width]
                         digests.append(digest_of(data))
                         if digests[-1] not in met:
                             if len(met) > 1_000_000:
@@ -154,7 +169,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
                             met.add(digests[-1])
                             chunks.append((digests[-1], end - start, data))
                         start = end
-                    recipes.append((len(stream), b"".join(digests), merkle(digests)))
+                    recipes.append((len(stream) // width, b"".join(digests), merkle(digests)))
                 n, m = len(recipes), len(chunks)
                 ids_col = pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)])
                 yield pa.RecordBatch.from_arrays(
@@ -167,17 +182,11 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
                     ["recipe", "doc_id", "n", "digest", "data"],
                 )
 
-    def first_only(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for batch in batches:
-            fresh = [d not in met and not met.add(d) for d in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(fresh, pa.bool_()))
-
     rows = docs.select(id_col, text_col).mapInArrow(encoded, f"recipe boolean, doc_id {id_type}, n bigint, digest binary, data binary")
     # one pass encodes; documents (a few bytes a chunk) and chunks part ways afterwards
     both = materialise_by_kind(rows)
     chunks = both.filter("not recipe").select("digest", F.col("n").alias("n_ids"), F.col("data").alias("ids"))
-    chunks.repartition(F.col("digest")).mapInArrow(first_only, "digest binary, n_ids bigint, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks.repartition(F.col("digest")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     # ascending order without one task for all: ranges of ids, sums by range, running sums within
     recipes = both.filter("recipe").select("doc_id", F.col("n").alias("n_tokens"), F.col("digest").alias("digests"), F.col("data").alias("root"))
@@ -282,7 +291,7 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
             for digest, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if digest_of(data) != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
-                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{len(data) // max(n, 1)}").astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{len(data) // max(n, 1)}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["digest", "n_ids", "crc"])
 
     return spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "ids").mapInArrow(checked, "digest binary, n_ids bigint, crc bigint")
@@ -307,22 +316,25 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     facts = recipe_entries(spark, path).join(chunks, "digest", "left").withColumn("fact", F.struct("seq", "digest", F.coalesce("n_ids", F.lit(-1)).alias("n"), "crc"))
     # the start tells rows apart that repeat an id
     one = facts.groupBy("start", "doc_id", "n_tokens", "root").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
-    lists = one.select("doc_id", "start", "n_tokens", "root", F.expr("transform(facts, f -> f.digest)").alias("digests"), F.expr("transform(facts, f -> f.n)").alias("ns"), F.expr("transform(facts, f -> f.crc)").alias("crcs"))
-    id_type = lists.schema["doc_id"].dataType.simpleString()
+    id_type = one.schema["doc_id"].dataType.simpleString()
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(4)
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            flat = lists.flatten()
+            digests, ns, parts = flat.field("digest").to_pylist(), flat.field("n").to_pylist(), flat.field("crc").to_pylist()
             crcs = []
-            for n, root, digests, ns, parts in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
-                if merkle(digests) != root or min(ns) < 0 or sum(ns) != n:
+            for n, root, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ends, ends[1:], strict=False):
+                if merkle(digests[a:b]) != root or min(ns[a:b]) < 0 or sum(ns[a:b]) != n:
                     raise ValueError("a recipe does not match its chunks")
-                crc = 0
-                for part, length in zip(parts, ns, strict=True):
-                    crc = crc32_join(crc, part, 4 * length)
+                crc = parts[a]
+                for k in range(a + 1, b):
+                    crc = crc32_join(crc, parts[k], 4 * ns[k])
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return lists.mapInArrow(summed, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return one.select("doc_id", "start", "n_tokens", "root", "facts").mapInArrow(summed, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
