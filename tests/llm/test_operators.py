@@ -10,13 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import bpe
 from millrace.llm.bpe import Encoder, Utf8Stream, encode_documents, read_ranks
 from millrace.llm.exact_dedup import FuseFilter, exact_dedup
 from millrace.llm.jaccard_join import near_components
 from millrace.llm.language_id import identify
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_classifier import score_quality
-from millrace.llm.quality_rules import quality_rules
+from millrace.llm.quality_rules import KINDS, fit, quality_rules, rules, with_counts
 from millrace.llm.queries import vocabulary
 from millrace.llm.substring_dedup import substring_dedup
 from millrace.llm.token_store import crc32_join, cut, read_documents, read_summaries, write_store
@@ -120,6 +121,28 @@ def test_mixing(docs, rows, none):
     assert mix_sources(none).count() == 0
 
 
+def test_mixing_draws_by_unequal_odds(spark):
+    # three kinds of documents in one source: their mean copies follow size ** 0.25 times weight, up to the cap
+    kinds = {0: (8, 1.0), 1: (128, 1.0), 2: (32, 6.0)}
+    made = [(i, "w " * kinds[i % 3][0], "s", kinds[i % 3][1]) for i in range(9000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, w double").repartition(4)
+    got = mix_sources(docs, share=1.4, weight_col="w").collect()
+    total = 3000 * sum(n for n, _ in kinds.values())
+    gain = {k: n**0.25 * w for k, (n, w) in kinds.items()}
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(3000 * n * min(2, level * gain[k]) for k, (n, _) in kinds.items()) < 1.4 * total else (low, level)
+    for k in kinds:
+        want, mine = min(2.0, level * gain[k]), [r for r in got if r.doc_id % 3 == k]
+        assert mine[0].expected == pytest.approx(want, rel=0.02)
+        assert np.mean([r.copies for r in mine]) == pytest.approx(want, abs=0.04)
+        assert {r.copies for r in mine} <= {int(want), int(want) + 1}
+    assert sum(r.taken for r in got) == pytest.approx(1.4 * total, abs=8)
+    # another seed draws other documents
+    assert {r.doc_id for r in mix_sources(docs, share=1.4, weight_col="w", seed=7).collect() if r.copies} != {r.doc_id for r in got if r.copies}
+
+
 def test_url_filter(spark):
     urls = [None, "", "x", "://", "http://A.NET/x", "https://www.Example.net/en/a?x=/y#z", "https://example.net/en", "http://example.com/de/1", "http://sub.org/fr/?q", "http://orgx/fr/", "http://net", "http://net/", "http://badexample.net/en/1", "ftp://example.com:80/de/", "http://a.org?x/y", "http://a.org#f/fr/"]
     urls += [f"http://h{i}.example.com/en/{i}" for i in range(40)] + [f"http://h{i}.spam.net/buy/{i}" for i in range(40)] + [f"http://h{i}.example.net/en/{i}" for i in range(40)] + ["http://x.spam.io/buy/3"] * 3
@@ -144,7 +167,7 @@ def test_url_filter(spark):
     assert {r.verdict for r in filter_urls(pages.filter("page_id < 3")).collect()} == {"allow"}
 
 
-def test_bpe(docs, rows, none):
+def test_bpe(docs, rows, none, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -159,10 +182,19 @@ def test_bpe(docs, rows, none):
     for _ in range(1500):
         t = "".join(rng.choice("ab  \n\t'sréé½²Ⅷ一𝔸😀　\xa0_#9٣É\x1c\x85") for _ in range(rng.randint(0, 40)))
         assert encoder.encode(t) == pack(t)
-    # the search without states gives what the transducer gives
+    # pieces longer than the lookahead, and tables that start anew all the time
+    whole = encoder.transducer
+    for k, alphabet in enumerate(("a", "ab", "etaoinsh", "=-", "éa")):
+        piece = "".join(rng.choice(alphabet) for _ in range(3000 if k else 700)).encode()
+        assert whole.encode(piece) == whole.merge(piece)
+    monkeypatch.setattr(bpe, "_MOST_MOVES", 3)
+    monkeypatch.setattr(bpe, "_MOST_PAIRS", 3)
+    small = bpe.Transducer(ranks)
     for _ in range(300):
         piece = "".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 30))).encode()
-        assert encoder.transducer._search(piece) == encoder.transducer.encode(piece) == ref.encode_ordinary(piece.decode())
+        assert small.encode(piece) == ref.encode_ordinary(piece.decode())
+    # every piece goes through the transducer, and there are no more states than nodes in the trie
+    assert len(whole._ends) <= len(whole._token) and not hasattr(whole, "_search")
 
 
 def test_utf8_stream():
@@ -250,12 +282,64 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules(none).count() == 0
 
 
+def _plain_em(votes, kinds, rounds=300):
+    """The same model estimated document by document, in plain Python."""
+    names = [r for k in kinds.values() for r in k]
+    share = {"good": 0.8} | {k: 0.2 / len(kinds) for k in kinds}
+    rate = {c: {r: 0.95 if c == "good" else 0.1 if r in kinds[c] else 0.8 for r in names} for c in share}
+    for step in range(rounds + 1):
+        weights = []
+        for v in votes:
+            p = {c: share[c] * np.prod([rate[c][r] if v[r] else 1 - rate[c][r] for r in names if v[r] is not None]) for c in share}
+            weights.append({c: x / sum(p.values()) for c, x in p.items()})
+        if step == rounds:
+            return share, rate, [w["good"] for w in weights]
+        share = {c: (sum(w[c] for w in weights) + 1) / (len(votes) + len(share)) for c in share}
+        tally = lambda c, r, says: sum(w[c] for w, v in zip(weights, votes) if v[r] == says)  # noqa: B023, E731
+        rate = {c: {r: (tally(c, r, 1) + 1) / (tally(c, r, 1) + tally(c, r, 0) + 2) for r in names} for c in share}
+
+
+def test_quality_rules_learn_accuracies():
+    kinds = {"x": ("x1", "x2", "x3"), "y": ("y1", "y2")}
+    names = [r for k in kinds.values() for r in k]
+    share = {"good": 0.75, "x": 0.15, "y": 0.1}
+    rate = {"good": dict(x1=0.97, x2=0.93, x3=0.9, y1=0.95, y2=0.98), "x": dict(x1=0.1, x2=0.25, x3=0.2, y1=0.9, y2=0.8), "y": dict(x1=0.95, x2=0.7, x3=0.9, y1=0.05, y2=0.15)}
+    rng = random.Random(8)
+    votes = []
+    for _ in range(20000):
+        c = rng.choices(list(share), share.values())[0]
+        votes.append(tuple(None if rng.random() < 0.1 else int(rng.random() < rate[c][r]) for r in names))
+    found = fit([(n, dict(zip(names, v))) for v, n in Counter(votes).items()], kinds)
+    for c in share:
+        assert found["share"][c] == pytest.approx(share[c], abs=0.03)
+        for r in names:
+            assert found["rate"][c][r] == pytest.approx(rate[c][r], abs=0.05), (c, r)
+
+
+def test_quality_rules_against_plain_em(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(500)]
+    words_of = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = [" ".join(words_of(80)) + "." for _ in range(60)] + [". ".join(words_of(120)) for _ in range(10)]
+    texts += [" ".join(w + "###" for w in words_of(70)) for _ in range(9)] + [" ".join(w.upper() + "!!" for w in words_of(70)) for _ in range(6)]
+    texts += ["\n".join([" ".join(words_of(20))] * 5) for _ in range(5)] + [" ".join(words_of(40) * 2) for _ in range(4)] + ["", None, "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    names = list(rules())
+    voted = with_counts(docs).select("doc_id", *(v.alias(r) for r, v in rules().items())).orderBy("doc_id").collect()
+    good = _plain_em([{r: v[r] for r in names} for v in voted], KINDS)[2]
+    got = {r.doc_id: r for r in quality_rules(docs, keep=["doc_id"]).collect()}
+    for i, p in enumerate(good):
+        assert got[i].quality == pytest.approx(p, abs=1e-3)
+        assert got[i].kept == (not got[i].base_failed and p >= 0.5)
+    assert all(got[i].kept for i in range(70)) and not any(got[i].kept for i in range(70, len(texts)))
+
+
 def test_token_store(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
     file = vocabulary("byte_bpe_50k.json")
     ref = Tokenizer.from_file(file)
-    ref.encode_special_tokens = True
+    assert any("<|endoftext|>" in (r[1] or "") for r in rows)
     path = new_path(spark, "store")
     write_store(docs, file, path)
     want, streams, start = {}, {}, 0
