@@ -1,8 +1,9 @@
 """Pattern candidates in tagged sentences, and the rows they give.
 
-Everything up to the candidates runs in one Arrow function, since skipping tokens makes it a search;
-all that follows is relational. Rather than forming all products of elements and testing them, the
-search walks a trie of the patterns from the keyword outwards and only follows what some pattern has.
+Matching is a search, since patterns may skip tokens, and runs in one Arrow function; all that follows is
+relational. For each keyword element the patterns form a trie of the tokens to the left, read outwards;
+where a left part ends hangs a trie of the right parts that go with it. A position is searched
+once to the left, and once to the right for each left part found, however many patterns share them.
 """
 
 from __future__ import annotations
@@ -21,85 +22,131 @@ REACH = 3
 CANDIDATE = "struct<pos:string,at:int,tokens:array<string>,places:array<int>>"
 
 
-def _tries(grammar: Grammar) -> dict[str, dict]:
-    """For each keyword element: patterns by (tokens before, tokens after)."""
-    out: dict[str, dict] = {}
-    for (keyword, length, at), patterns in grammar.buckets.items():
-        out.setdefault(keyword, {})[at, length - at - 1] = [p.split(" ") for p in sorted(patterns)]
-    return out
+class Node:
+    """A place in a trie: what follows, what ends here, and the most tokens of any pattern part through it."""
 
+    __slots__ = ("after", "deepest", "ends")
 
-def _side(elements: Sequence[list[str]], tokens: Sequence[str], start: int, step: int, most: int, keywords: set[str]) -> list[tuple[int, ...]]:
-    """Ways to match tokens one after the other from start on: the places of each way.
+    def __init__(self) -> None:
+        self.after: dict[str, Node] = {}
+        self.ends = None
+        self.deepest = 0
 
-    A token of the sentence may be passed over if its list has ``_``; a list without it must match, and an
-    empty list ends the search.
-    """
-    ways: list[tuple[int, ...]] = []
+    def put(self, tokens: Sequence[str]) -> Node:
+        node = self
+        node.deepest = max(node.deepest, len(tokens))
+        for t in tokens:
+            node = node.after.setdefault(t, Node())
+            node.deepest = max(node.deepest, len(tokens))
+        return node
 
-    def walk(k: int, seen: int, places: tuple[int, ...]) -> None:
-        if k == len(tokens):
-            ways.append(places)
-            return
-        i = start + step * seen
-        if seen > most or not 0 <= i < len(elements) or not elements[i]:
-            return
-        own = elements[i]
-        for e in own:
-            if e == tokens[k] and e != "_" and e not in keywords:
-                walk(k + 1, seen + 1, (*places, i))
-        if "_" in own:
-            walk(k, seen + 1, places)
 
-    walk(0, 0, ())
-    return ways
+def tries(grammar: Grammar) -> dict[str, Node]:
+    """For each keyword element the trie of left parts; where one ends, the trie of its right parts, which end in patterns.
+
+    A part that holds another keyword or the mark for skipping matches nothing and is left out.
+    """
+    never = {"_", *grammar.keywords}
+    out: dict[str, Node] = {}
+    for (keyword, _, at), patterns in grammar.buckets.items():
+        for pattern in sorted(patterns):
+            tokens = pattern.split(" ")
+            left, right = tokens[:at][::-1], tokens[at + 1 :]
+            if never.isdisjoint(left) and never.isdisjoint(right):
+                end = out.setdefault(keyword, Node()).put(left)
+                end.ends = end.ends or Node()
+                end.ends.put(right).ends = tokens
+    return out
 
 
-def candidates(elements: Sequence[list[str]], words: Sequence[str], lemmas: Sequence[str], grammar: Grammar, vocab: set[str] | None, tries: dict | None = None) -> list[tuple[str, int, list[str], list[int]]]:
+def _ways(root: Node, elements: Sequence[list[str]], start: int, step: int) -> list[tuple[object, tuple[int, ...]]]:
+    """What ends at each way through the trie from a place on, and the places of its tokens.
+
+    A token of the sentence may be passed over if its list has ``_``; a list without it must match, and an
+    empty list ends the search. The last token lies within REACH places for each token of the part.
+    """
+    found: list[tuple[object, tuple[int, ...]]] = []
+    size = len(elements)
+
+    def walk(node: Node, seen: int, places: tuple[int, ...]) -> None:
+        if node.ends is not None and seen - 1 <= len(places) * REACH:
+            found.append((node.ends, places))
+        after = node.after
+        if not after:
+            return
+        most = node.deepest * REACH
+        while seen <= most:
+            i = start + step * seen
+            if not 0 <= i < size:
+                return
+            own = elements[i]
+            seen += 1
+            for e in own:
+                to = after.get(e)
+                if to is not None:
+                    walk(to, seen, (*places, i))
+            if "_" not in own:
+                return
+
+    walk(root, 0, ())
+    return found
+
+
+def candidates(elements: Sequence[list[str]], words: Sequence[str], lemmas: Sequence[str], grammar: Grammar, vocab: set[str] | None, roots: dict[str, Node] | None = None) -> list[tuple[str, int, list[str], list[int]]]:
     """(keyword element, its place, tokens, their places) of each way a pattern matches; vocab None lets every keyword through."""
-    tries = _tries(grammar) if tries is None else tries
-    keywords, out = set(grammar.keywords), []
+    roots = tries(grammar) if roots is None else roots
+    out = []
     for i, own in enumerate(elements):
-        held = [e for e in own if e in keywords]
-        if not held or vocab is not None and words[i] not in vocab and lemmas[i] not in vocab:
+        held = next((e for e in own if e in grammar.keywords), None)
+        root = roots.get(held)
+        if root is None or vocab is not None and words[i] not in vocab and lemmas[i] not in vocab:
             continue
-        for (before, after), patterns in tries.get(held[0], {}).items():
-            if i < before or len(elements) - i - 1 < after:
-                continue
-            for tokens in patterns:
-                lefts = _side(elements, tokens[:before][::-1], i - 1, -1, before * REACH, keywords)
-                if not lefts:
-                    continue
-                for right in _side(elements, tokens[before + 1 :], i + 1, 1, after * REACH, keywords):
-                    out += [(held[0], i, tokens, [*left[::-1], i, *right]) for left in lefts]
+        rights: dict[int, list] = {}
+        for right, left in _ways(root, elements, i - 1, -1):
+            if id(right) not in rights:
+                rights[id(right)] = _ways(right, elements, i + 1, 1)
+            out += [(held, i, tokens, [*left[::-1], i, *places]) for tokens, places in rights[id(right)]]
     return out
 
 
-def with_candidates(sents: DataFrame, grammar: Grammar, vocab: set[str] | None, kind: str = "grammar", phrasal: dict | None = None, name: str = "candidates") -> DataFrame:
-    """sents (words, lemmas, poss, chunks) with an array of candidates.
-
-    Sentences of unequal arrays are dropped, as are those without a word or lemma of vocab; both
-    filters run before the Arrow function. First letters of words and lemmas are lower-cased.
-    """
+def well_formed(sents: DataFrame, vocab: set[str] | None) -> DataFrame:
+    """Sentences of equal arrays without null tokens that have a word or lemma of vocab; first letters lower-cased."""
     from millrace.functions.text import lower_first
 
     first = lambda c: F.transform(c, lambda x, i: F.when(i == 0, lower_first(x)).otherwise(x))
-    sizes = F.size("words")
-    ok = sents.filter((sizes == F.size("lemmas")) & (sizes == F.size("poss")) & (sizes == F.size("chunks"))).withColumns({"words": first("words"), "lemmas": first("lemmas")})
-    if vocab is not None:
-        ok = ok.filter(F.arrays_overlap(F.concat("words", "lemmas"), F.array(*(F.lit(v) for v in sorted(vocab))).cast("array<string>")))
+    sizes, every = F.size("words"), F.concat("words", "lemmas", "poss", "chunks")
+    ok = sents.filter((sizes == F.size("lemmas")) & (sizes == F.size("poss")) & (sizes == F.size("chunks")) & ~F.exists(every, lambda x: x.isNull()))
+    ok = ok.withColumns({"words": first("words"), "lemmas": first("lemmas")})
+    if vocab is None:
+        return ok
+    return ok.filter(F.arrays_overlap(F.concat("words", "lemmas"), F.array(*(F.lit(v) for v in sorted(vocab))).cast("array<string>")))
+
+
+def maker(kind: str, phrasal: dict | None) -> ElementMaker:
+    return grammar_elements if kind == "grammar" else lambda *t: collocation_elements(*t, phrasal=phrasal)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Batches of few sentences, so that a task holds the candidates of few."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def with_candidates(sents: DataFrame, grammar: Grammar, vocab: set[str] | None, kind: str = "grammar", phrasal: dict | None = None, name: str = "candidates") -> DataFrame:
+    """The well-formed of sents (words, lemmas, poss, chunks) with an array of candidates."""
+    ok = well_formed(sents, vocab)
     shared = sents.sparkSession.sparkContext.broadcast((grammar, vocab, phrasal))
     struct = pa.struct([("pos", pa.string()), ("at", pa.int32()), ("tokens", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))])
     columns = ok.columns
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, v, p = shared.value
-        tries = _tries(g)
-        make: ElementMaker = grammar_elements if kind == "grammar" else lambda *t: collocation_elements(*t, phrasal=p)
-        for batch in batches:
+        roots, make = tries(g), maker(kind, p)
+        for batch in slices(batches):
             rows = []
             for w, m, t, c in zip(*(batch.column(n).to_pylist() for n in ("words", "lemmas", "poss", "chunks")), strict=True):
-                rows.append([dict(zip(("pos", "at", "tokens", "places"), x, strict=True)) for x in candidates(make(w, m, t, c), w, m, g, v, tries)])
+                rows.append([dict(zip(("pos", "at", "tokens", "places"), x, strict=True)) for x in candidates(make(w, m, t, c), w, m, g, v, roots)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(struct))], [*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ok.schema)
@@ -107,21 +154,32 @@ def with_candidates(sents: DataFrame, grammar: Grammar, vocab: set[str] | None,
 
 
 def pattern_rows(sents: DataFrame, grammar: Grammar, vocab: set[str] | None, kind: str = "grammar", phrasal: dict | None = None) -> DataFrame:
-    """(wordpos, pat, iocs, example, instance_sym) of each candidate, repeats included."""
-    rows = with_candidates(sents, grammar, vocab, kind, phrasal).select("words", "lemmas", F.explode("candidates").alias("c"))
-    places, tokens, at = F.col("c.places"), F.col("c.tokens"), F.col("c.at")
-    pos = F.element_at(F.create_map(*(F.lit(x) for pair in grammar.keywords.items() for x in pair)), F.col("c.pos"))
-    lemma = F.lower(F.get("lemmas", at))
-    iocs = F.array_join(F.transform(places, lambda p: F.get("lemmas", p)), " ")
-    if kind == "grammar":
-        shown = lambda t: F.when(t.isin(*sorted(INFLECTED)), F.lower(F.get("words", at))).when(t.isin(*grammar.keywords), lemma).otherwise(t)
-        pat = F.array_join(F.transform(tokens, shown), " ")
-    else:
-        pat = F.concat(F.lit("("), F.array_join(tokens, " "), F.lit(")"), iocs)
-    start, end = F.get(places, F.lit(0)), F.element_at(places, -1)
-    example = F.concat(F.lit("["), F.array_join(F.slice("words", start + 1, end - start + 1), " "), F.lit("]"))
-    sym = F.map_from_arrays(F.transform(places, lambda p: p - start), tokens)
-    return rows.select(F.concat_ws(":", lemma, pos).alias("wordpos"), pat.alias("pat"), iocs.alias("iocs"), example.alias("example"), sym.alias("instance_sym"))
+    """(wordpos, pat, iocs, example, instance_sym) of each candidate of the well-formed sents, repeats included.
+
+    Rows leave the Arrow function as they are: no sentence is repeated for its candidates.
+    """
+    shared = sents.sparkSession.sparkContext.broadcast((grammar, vocab, phrasal))
+    types = [*[pa.string()] * 4, pa.map_(pa.int32(), pa.string())]
+
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, v, p = shared.value
+        roots, make = tries(g), maker(kind, p)
+        for batch in slices(batches):
+            rows = []
+            for w, m, t, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                for held, at, tokens, places in candidates(make(w, m, t, c), w, m, g, v, roots):
+                    lemma, iocs = m[at].lower(), " ".join([m[i] for i in places])
+                    if kind == "grammar":
+                        pat = " ".join([w[at].lower() if x in INFLECTED else lemma if x in g.keywords else x for x in tokens])
+                    else:
+                        pat = f"({' '.join(tokens)}){iocs}"
+                    example = " ".join(w[places[0] : places[-1] + 1])
+                    rows.append((f"{lemma}:{g.keywords[held]}", pat, iocs, f"[{example}]", [(i - places[0], x) for i, x in zip(places, tokens, strict=True)]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(columns, types, strict=True)], ["wordpos", "pat", "iocs", "example", "instance_sym"])
+
+    whole = well_formed(sents, vocab).select("words", "lemmas", "poss", "chunks")
+    return whole.mapInArrow(found, "wordpos string, pat string, iocs string, example string, instance_sym map<int,string>")
 
 
 def combined_rows(sents: DataFrame, grammar: Grammar, collocations: Grammar, vocab: set[str] | None, phrasal: dict | None = None) -> DataFrame:
