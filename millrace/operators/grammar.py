@@ -1,7 +1,8 @@
-"""Grammar and collocation patterns, as tables built from frames.
+"""Grammar and collocation patterns as tables.
 
-A frame is a pattern with alternatives in its slots: ``V about|at sth`` stands for two patterns. A
-grammar may also come from a file of the same form (``read_grammar``), one ``POS TAB group TAB frame`` a line.
+A grammar comes from text of lines ``POS TAB group TAB pattern`` (``read_grammar``); a pattern's slot may hold
+alternatives between bars, so ``V about|at sth`` stands for two. The built-in table has the patterns of
+one keyword and its commonest complements; larger tables are read from files of the same form.
 """
 
 from __future__ import annotations
@@ -18,135 +19,143 @@ COLLOCATION_KEYWORDS = {"N": "N", "V": "V", "ADJ": "ADJ", "ADJP": "ADJ"}
 #: Keyword elements that show the word form rather than the lemma.
 INFLECTED = {"ADJER", "ADJEST", "V-ed", "ADJERP", "ADJESTP"}
 
-#: Frames; a slot's alternatives stand between bars, + joins the words of one alternative.
-VERB_FRAMES = """
-V sth|oneself|amount|adjp|doing|inf|that|wh|quote|so|not|advp|it
-V to+inf|wh+to+inf|as+if|as+though|and+do|at+n|as+to+wh|as+adjp
-quote|quote+sth V
-sth V together|prep+together
-V about|across|after|against|around|round|as|between|for|from|in|into|like|of|off|on|onto|over|through|to sth
-V toward|towards|under|with|among|before|behind|down|past|by|on+to|out+of|in+favor+of sth
-V by amount|doing
-V adjp among sth
-V sth sth|adjp|doing|to+inf|inf|wh|wh+to+inf|done|advp|quote|with+advp|as+adjp|as+n|as+to+wh|into+doing
-V sth about|against|at|between|among|by|for|from|in|into|of|off|on|onto|on+to|over|to sth
-V sth toward|towards|with|after|around|round|before|through sth
-quote sth be V-ed
-V way prep|advp
-it V that|to+inf|wh|when|if|as+if|as+though|like
-it V to sth that|wh|like|to+inf
-it V prep that|to+inf
-it be V-ed that|to+inf|wh
-it V sth that|to+inf|wh|when|if|doing|before|since|sth+to+inf|adjp+that
-it V adj that|to+inf|wh|when|if|doing|prep|advp
-V it that|when|if|to+sth+that|as+sth+clause|as+adjp+that
-V it as sth|adjp when|if
-V it sth|adjp that|to+inf|when|if
-V it adjp wh
-it V adjp|sth|to+sth|towards+sth|prep+that|advp+that
-V it prep|advp|adj|sth|done|inf|over+sth|to+sth|prep+prep+sth
-sth V it PRT
-V it PRT with n
-V prep it
-V sth for it
-"""
-NOUN_FRAMES = """
-N that|to+inf
-the N to+inf
-N for|to sth to+inf
-v-link N to+inf
-v-link adj N to+inf
-N about|against|at|between|for|from|in|of|on|over|to|with|towards|toward sth|doing
-N in+favour+of sth|doing
-N about|of|on|over wh
-N among|as|behind|by|into|as+to sth
-N as+to+wh|of+amount
-N of sth as|to|with sth
-one's N as sth
-v-link a N as sth
-N for n to inf
-N from|on sth for sth
-N from sth to|that sth|inf
-N from sth to sth|inf
-N on sth to inf
-N to|with sth that
-N with sth to+inf|for+sth
-of N to n
-the N be that|doing|to+inf
-one's N be that|to-inf|doing
-the N about|with sth be that
-it v-link det|one's N that|doing|to+inf
-it v-link N to+inf|doing
-it do N to+inf
-it do sth N to inf
-do it det N to inf
-there be det N about|in|to sth
-there be det N in|to doing
-at|by|from|in|into|of|on|out+of|to|under|with|within|without N
-"""
-ADJECTIVE_FRAMES = """
-adv ADJP
-adv|det ADJ sth|amount
-as ADJP as sth|doing|adjp|advp|amount|clause
-ADJP enough
-ADJP enough to+inf|for+sth|that|sth|sth+to+inf|sth+for+sth|sth+that
-how|however ADJP
-how ADJP v-link|sth sth|v-link
-how ADJP it v-link that
-how ADJP clause
-how ADJ to inf
-however ADJ sth
-however ADJP sth v-link
-so ADJP that
-so ADJP as to inf
-such a ADJ sth that
-such ADJ sth that
-too ADJP to inf
-too ADJ for sth
-the ADJERP of sth
-ADJERP than sth|doing|clause|advp|adjp|done|prep|adj+sth|done+sth
-ADJER sth than sth|prep|clause
-one of the|one's ADJESTP|ADJEST
-the ADJEST sth clause|since|prep|adjp|advp|to+inf
-one's ADJEST sth since|prep
-the ADJESTP of|among sth
-the ADJEST adj|adv sth
-the ADJESTP to inf
-the ADJESTP clause|since
-the ADJEST prep|adjp|advp
-at one's ADJESTP
-ADJ sth
-v-link|sth|amount ADJP
-do sth ADJP
-be done ADJP
-do sth as ADJP
-be done as ADJP
-do ADJP at|in amount|sth
-ADJP that|wh|doing|to+inf
-ADJ sth to inf
-ADJP about|at|for|in|of|on|to|with|towards|toward sth|doing
-ADJP about|of|on wh
-ADJP against|as|between|by|from|over|as+to sth
-the ADJP as sth
-ADJP as to wh
-ADJP for sth to inf
-ADJP sth for sth
-ADJP from sth to sth
-ADJP in sth as|from|to|with sth
-do sth ADJP of sth
-ADJP on|upon sth for sth
-ADJP on|upon sth to inf
-ADJP to sth for sth|doing
-it v-link ADJP that|wh|to+inf
-it do sth ADJP that
-it v-link ADJ doing
-do it ADJP that|to+inf
-it be done ADJP that
-do it as ADJP that
-it v-link ADJP about sth
-do -thing ADJP about|in|with sth
--thing v-link ADJP with sth
-what v-link ADJP v-link that|wh|doing
+#: Part of speech, group and pattern, separated by TABs.
+BASE = """
+VERB	V n	V sth
+VERB	V pron-refl	V oneself
+VERB	V amount	V amount
+VERB	V adj	V adjp
+VERB	V -ing	V doing
+VERB	V to-inf	V to inf
+VERB	V inf	V inf
+VERB	V that	V that
+VERB	V wh	V wh
+VERB	V wh-to-inf	V wh to inf
+VERB	V so/not	V so
+VERB	V so/not	V not
+VERB	V as if	V as if
+VERB	V as though	V as though
+VERB	V and v	V and do
+VERB	V adv	V advp
+VERB	V about n	V about sth
+VERB	V across n	V across sth
+VERB	V after n	V after sth
+VERB	V against n	V against sth
+VERB	V around/round n	V around sth
+VERB	V around/round n	V round sth
+VERB	V as adj.	V as adjp
+VERB	V as n	V as sth
+VERB	V as to wh	V as to wh
+VERB	V at n	V at n
+VERB	V between n	V between sth
+VERB	V by amount	V by amount
+VERB	V by -ing	V by doing
+VERB	V by n	V by sth
+VERB	V for n	V for sth
+VERB	V from n	V from sth
+VERB	V in n	V in sth
+VERB	V in favor of n	V in favor of sth
+VERB	V into n	V into sth
+VERB	V like n	V like sth
+VERB	V of n	V of sth
+VERB	V off n	V off sth
+VERB	V on n	V on sth
+VERB	V on to n	V on to sth
+VERB	V onto n	V onto sth
+VERB	V out of n	V out of sth
+VERB	V over n	V over sth
+VERB	V through n	V through sth
+VERB	V to n	V to sth
+VERB	V towards/toward n	V toward sth
+VERB	V towards/toward n	V towards sth
+VERB	V under n	V under sth
+VERB	V with n	V with sth
+VERB	V n n	V sth sth
+VERB	V n adj	V sth adjp
+VERB	V n -ing	V sth doing
+VERB	V n to-inf	V sth to inf
+VERB	V n inf	V sth inf
+VERB	V n wh	V sth wh
+VERB	V n wh-to-inf	V sth wh to inf
+VERB	V n -ed	V sth done
+VERB	V n adv	V sth advp
+VERB	V n about n	V sth about sth
+VERB	V n against n	V sth against sth
+VERB	V n as adj	V sth as adjp
+VERB	V n as n	V sth as n
+VERB	V n at n	V sth at sth
+VERB	V n between n	V sth between sth
+VERB	V n by n	V sth by sth
+VERB	V n for n	V sth for sth
+VERB	V n from n	V sth from sth
+VERB	V n in n	V sth in sth
+VERB	V n into n	V sth into sth
+VERB	V n into -ing	V sth into doing
+VERB	V n of n	V sth of sth
+VERB	V n off n	V sth off sth
+VERB	V n on n	V sth on sth
+VERB	V n over n	V sth over sth
+VERB	V n to n	V sth to sth
+VERB	V n with n	V sth with sth
+VERB	it V	it V
+VERB	it V that	it V that
+VERB	it V to-inf	it V to inf
+VERB	it be V-ed that	it be V-ed that
+VERB	V it	V it
+VERB	V it that	V it that
+NOUN	N that	N that
+NOUN	N to-inf	N to inf
+NOUN	the N to-inf	the N to inf
+NOUN	N for n to-inf	N for n to inf
+NOUN	N about n	N about sth
+NOUN	N about -ing	N about doing
+NOUN	N about wh	N about wh
+NOUN	N against n	N against sth
+NOUN	N among n	N among sth
+NOUN	N as n	N as sth
+NOUN	N as to wh	N as to wh
+NOUN	N at n	N at sth
+NOUN	N behind n	N behind sth
+NOUN	N between n	N between sth
+NOUN	N by n	N by sth
+NOUN	N for n	N for sth
+NOUN	N for -ing	N for doing
+NOUN	N from n	N from sth
+NOUN	N from n that	N from sth that
+NOUN	N from n to n	N from sth to sth
+NOUN	N in n	N in sth
+NOUN	N in -ing	N in doing
+NOUN	N into n	N into sth
+NOUN	N of n	N of sth
+NOUN	N of -ing	N of doing
+NOUN	N of amount	N of amount
+NOUN	N on n	N on sth
+NOUN	N on -ing	N on doing
+NOUN	N on wh	N on wh
+NOUN	out of N	out of N
+NOUN	to N	to N
+NOUN	under N	under N
+NOUN	with N	with N
+NOUN	within N	within N
+NOUN	without N	without N
+ADJ	ADJ n	ADJ sth
+ADJ	adv ADJ	adv ADJP
+ADJ	adv ADJ n	adv ADJ sth
+ADJ	as ADJ as n/-ing	as ADJP as sth
+ADJ	as ADJ as n/-ing	as ADJP as doing
+ADJ	ADJ enough	ADJP enough
+ADJ	ADJ enough to-inf	ADJP enough to inf
+ADJ	ADJ enough for n	ADJP enough for sth
+ADJ	how ADJ	how ADJP
+ADJ	how ADJ a n cl	how ADJP a sth clause
+ADJ	so ADJ that	so ADJP that
+ADJ	too ADJ to-inf	too ADJP to inf
+ADJ	the ADJER	the ADJERP
+ADJ	the ADJER	the ADJER sth
+ADJ	ADJER than n/-ing	ADJERP than sth
+ADJ	ADJER than n/-ing	ADJERP than doing
+ADJ	the ADJEST of/among n	the ADJESTP of sth
+ADJ	the ADJEST of/among n	the ADJESTP among sth
 """
 #: The collocation patterns.
 COLLOCATION_FRAMES = {
@@ -181,12 +190,7 @@ class Grammar:
 
 
 def default_grammar() -> Grammar:
-    out = Grammar(GRAMMAR_KEYWORDS)
-    for frames in (VERB_FRAMES, NOUN_FRAMES, ADJECTIVE_FRAMES):
-        for frame in filter(None, frames.split("\n")):
-            for pattern in unfold(frame):
-                out.add(pattern, frame)
-    return out
+    return read_grammar(BASE)
 
 
 def collocation_grammar() -> Grammar:
@@ -198,7 +202,7 @@ def collocation_grammar() -> Grammar:
 
 
 def read_grammar(text: str, keywords: dict[str, str] = GRAMMAR_KEYWORDS) -> Grammar:
-    """A grammar from lines of part of speech, group and frame, separated by TABs."""
+    """A grammar from lines of part of speech, group and pattern, separated by TABs; of groups for one pattern the last counts."""
     out = Grammar(keywords)
     for line in text.splitlines():
         if line.strip() and not line.startswith("#"):
