@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.sequences import before_slash, slash_joined
 from millrace.functions.text import preprocess, tokens
+from millrace.sources.lines import counted_before
 
 
 def apply_steps(df: DataFrame, *steps: Callable[..., DataFrame]) -> DataFrame:
@@ -64,12 +65,10 @@ def split_pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def blank_line_groups(lines: DataFrame, width: int | None = None) -> DataFrame:
     """(record, values): the lines up to each blank line; repeated blank lines give empty records.
 
-    The running count of blank lines is a window over all lines; for many files give each its own
-    record key first.
+    Blank lines are counted within ranges of lines, so no task sees more than one range.
     """
     blank = F.col("value") == ""
-    before = F.sum(blank.cast("int")).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    rows = lines.withColumn("record", F.coalesce(before, F.lit(0)))
+    rows = counted_before(lines, blank, "record")
     grouped = rows.groupBy("record").agg(F.sort_array(F.collect_list(F.when(~blank, F.struct("line_no", "value")))).alias("_rows"))
     return grouped.select("record", F.transform("_rows", lambda x: x["value"]).alias("values"))
 

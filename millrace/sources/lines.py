@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.plans.scratch import new_path
+from millrace.plans.scratch import materialise, new_path
 
 LINES = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("value", T.StringType())])
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with consecutive line_no from 0: in the order of the columns, or as it is read.
+    """df with consecutive line_no from 0: in the order of the columns, or by input partition.
 
     Rows are numbered within ranges (or input partitions), whose sizes give each one its first
     number; no task sees more than one range. The ranges are written, so both passes agree.
@@ -30,8 +32,31 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(line_no, value) of text files, a folder or a glob; gz files are read as they are."""
-    return numbered(spark.read.text(paths)).select("line_no", "value")
+    """(line_no, value) of text files, folders or globs, one after the other in the order given.
+
+    The files of a folder or glob follow one another by name; gz files are read as they are. Spark may read
+    the blocks of files in any order: lines are counted by block, and each block's first number
+    comes from the sizes of the blocks before it.
+    """
+    parts = [spark.read.text(p).select("value", F.lit(i).alias("_path"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")) for i, p in enumerate([paths] if isinstance(paths, str) else paths)]
+    path, block = new_path(spark, "lines"), ["_path", "_file", "_block"]
+    reduce(DataFrame.unionByName, parts).withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    blocks = stored.groupBy(*block).agg(F.count("*").alias("_size"), F.min("_at").alias("_least"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each block of a file
+    blocks = blocks.withColumn("_first", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    return stored.join(F.broadcast(blocks), block).select((F.col("_first") + F.col("_at") - F.col("_least")).alias("line_no"), "value")
+
+
+def counted_before(lines: DataFrame, flag: Column, name: str) -> DataFrame:
+    """lines with ``name``: how many lines before have the flag. Counted within ranges of line_no, and over the ranges' sums."""
+    ranged = materialise(lines.withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0))).repartitionByRange("line_no").withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    sums = ranged.groupBy("_part").agg(F.sum("_flag").alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy("_part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(sums), "_part").withColumn(name, F.col("_first") + F.coalesce(F.sum("_flag").over(within), F.lit(0))).drop("_part", "_flag", "_first")
 
 
 def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
