@@ -16,7 +16,7 @@ NUMERALS = "〇一二兩三四五六七八九十百千萬億兆"
 _LATIN_JOINERS = r"\-/.﹒~—─=*&_’"
 NUMBER, LATIN = "{{CD}}", "{{FW}}"
 _NUMBER_PARTS = rf"\{{\{{.*?\}}\}}|\{{\{{.*$|[{NUMERALS}]+|[0-9]+|(?s:.)"
-_LATIN_PARTS = rf"\{{\{{.*?\}}\}}|\{{\{{.*$|[{_LATIN_JOINERS}]*(?:[A-Za-z]+[{_LATIN_JOINERS}]*)+|(?s:.)"
+_LATIN_PARTS = rf"\{{\{{.*?\}}\}}|\{{\{{.*$|[{_LATIN_JOINERS}]*[A-Za-z][A-Za-z{_LATIN_JOINERS}]*|(?s:.)"
 
 
 def squeeze(c: Column) -> Column:
@@ -60,7 +60,10 @@ def restore(c: Column, placeholder: str, originals: Column) -> Column:
     """The i-th placeholder gives way to the i-th original; those without one stay."""
     quoted = placeholder.replace("{", r"\{").replace("}", r"\}")
     pieces = F.split(c, quoted, -1)
-    return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.get(originals, i - 1), F.lit(placeholder)), x))), "")
+    gaps = F.size(pieces) - 1
+    # zipped, not looked up: the originals may be a costly expression
+    filled = F.zip_with(F.slice(pieces, 2, gaps), F.slice(originals, 1, gaps), lambda x, o: F.concat(F.coalesce(o, F.lit(placeholder)), x))
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(filled, ""))
 
 
 def preprocess(c: Column) -> Column:
@@ -79,8 +82,8 @@ def clause_split(c: Column) -> Column:
 
 
 def chinese_sentences(c: Column) -> Column:
-    """Sentences that end at 。！？；; a quotation in 「」 is never cut."""
-    return F.filter(F.regexp_extract_all(c, F.lit(r"((?:「[^」]*」|[^。！？；])*[。！？；]*)"), F.lit(1)), lambda x: x != "")
+    """Sentences that end at 。！？；; a quotation in 「」 is never cut. Runs are possessive: long sentences cost no stack."""
+    return F.filter(F.regexp_extract_all(c, F.lit(r"((?:[^「。！？；]++|「[^」]*+」|「)*+[。！？；]*+)"), F.lit(1)), lambda x: x != "")
 
 
 def english_sentences(c: Column) -> Column:
