@@ -11,7 +11,9 @@ from millrace.functions import sequences as S
 from millrace.functions import text as X
 from millrace.operators import align, counting, evaluate, lines, lm, matching, mining, projection, tagged, tagger
 from millrace.operators.grammar import buckets_rows, collocation_grammar, default_grammar
-from millrace.plans.scratch import materialise
+from millrace.plans.scratch import materialise, new_path, spread
+from millrace.sources import lines as L
+from millrace.sources import tables
 from millrace.sources.lines import numbered, split_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,8 +166,7 @@ SELECT l_partkey, l_suppkey, l_discount AS prob, l_orderkey, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1 AND l_discount > 1e-10""")
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_discount").alias("prob"), "l_orderkey", "l_linenumber").filter("prob > 1e-10")
-    best = rows.groupBy("l_partkey", "l_suppkey").agg(F.min(F.struct((-F.col("prob")).alias("m"), "l_orderkey", "l_linenumber")).alias("b"))
-    return best.select("l_partkey", "l_suppkey", (-F.col("b.m")).alias("prob"), "b.l_orderkey", "b.l_linenumber")
+    return counting.best_per_group(rows, ["l_partkey", "l_suppkey"], [F.desc("prob"), F.col("l_orderkey"), F.col("l_linenumber")])
 
 
 @query("""
@@ -211,9 +212,9 @@ def fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.to_half_width(wide).alias("value"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[\\s\\pZ\\x0B\\x85]', '', 'g')) AS n FROM documents")
+@query("SELECT doc_id, rtrim(regexp_replace(regexp_replace(text, '[\\s\\pZ\\x0B\\x85]', '', 'g'), '(.)', '\\1 ', 'g')) AS tokens FROM documents")
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(X.char_tokens(F.col("text"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.char_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("""
@@ -245,9 +246,9 @@ def error_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH v AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents)
-SELECT DISTINCT doc_id FROM d JOIN v USING (word) WHERE length(word) > 8""")
+SELECT DISTINCT doc_id FROM d JOIN v USING (word)""")
 def semi_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = read(spark, sf_dir, "benchmark").select(F.explode(ascii_words("text")).alias("word")).filter(F.length("word") > 8).distinct()
+    vocab = read(spark, sf_dir, "benchmark").select(F.explode(ascii_words("text")).alias("word")).distinct()
     return counting.vocabulary_gate(doc_words(spark, sf_dir), vocab, "doc_id", F.col("words")).select("doc_id")
 
 
@@ -269,10 +270,21 @@ def truecase_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM conversations) GROUP BY word)
 SELECT row_number() OVER (ORDER BY n DESC, word) + 1 AS id, word, n FROM c""")
-def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.vocabulary(read(spark, sf_dir, "conversations").select(ascii_words("text").alias("words")))
 
 
+@query(f"""
+WITH {{}}, c AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS.replace('text', 'value')}) AS word FROM l) GROUP BY word),
+v AS (SELECT row_number() OVER (ORDER BY n DESC, word) + 1 AS id, word FROM c), d AS (SELECT line_no, {WORDS.replace('text', 'value')} AS w FROM l),
+f AS (SELECT line_no, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(i))
+SELECT line_no, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM f JOIN v USING (word) GROUP BY line_no""".replace("{}", ORDERED))
+def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(conversation_lines(spark, sf_dir).select("line_no", ascii_words("value").alias("words")), "lines")
+    out = counting.numericalise(rows, counting.vocabulary(rows), "line_no")
+    return out.select("line_no", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
 @query(f"WITH {TURNS} SELECT DISTINCT s AS src, t AS tgt FROM (SELECT unnest(list_distinct(src)) AS s, tgt FROM pairs), unnest(list_distinct(tgt)) AS r(t)")
 def cooc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.cooccurrence(turn_pairs(spark, sf_dir))
@@ -327,7 +339,7 @@ def toktag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with tags by a rule on word lengths: text without a tagger."""
-    line = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    line = spread(read(spark, sf_dir, "documents")).select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     words = line.select("doc_id", X.tokens(F.col("l")).alias("words")).filter(F.size("words") > 0)
     kinds = F.array(*(F.lit(x) for x in ("NN", "VBP", "IN", "JJ", "DT", "NN", "VBG", "TO", "NNS")))
     chunks = F.array(*(F.lit(x) for x in ("H-NP", "H-VP", "H-PP", "I-NP", "I-NP", "H-NP", "H-VP", "H-PP", "H-NP")))
@@ -347,17 +359,187 @@ def collocation_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.good_patterns(rows)
 
 
-@query()
+SPG = """
+WITH i AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), p AS (SELECT w, array_to_string(w, ' ') AS en FROM i WHERE len(w) >= 3),
+best AS (SELECT a.w[1] AS keyword, min(b.en) AS en FROM p a JOIN p b ON contains(' ' || b.en || ' ', ' ' || array_to_string(a.w[1:3], ' ') || ' ') GROUP BY a.w[1])"""
+
+
+@query(f"""{SPG}
+SELECT keyword, 1::BIGINT AS keyword_count, 'V sth' AS pattern, 1::BIGINT AS pattern_count, 'x' || keyword || ':V sth' AS ch_pattern, 0.25::DOUBLE AS phrase_prob,
+  0.25::DOUBLE AS lex_prob, 0.0625::DOUBLE AS prob, en AS en_phrase, array_to_string(list_transform(string_split(en, ' '), lambda x: 'x' || x), ' ') AS ch_phrase FROM best""")
 def spg_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = X.tokens(F.col("text"))
     items = read(spark, sf_dir, "benchmark").withColumn("w", words).filter(F.size("w") >= 3)
     tags = F.create_map(F.lit("0"), F.lit("V"), F.lit("2"), F.lit("sth"))
     patterns = items.select(F.get("w", F.lit(0)).alias("keyword"), F.lit(1).cast("long").alias("keyword_count"), F.lit("V sth").alias("pattern"), F.lit(1).cast("long").alias("pattern_count"), F.array(F.struct(F.array_join(F.slice("w", 1, 3), " ").alias("instance"), tags.alias("tag"))).alias("instances"))
     at = F.transform("w", lambda x, i: F.concat_ws("-", i.cast("string"), i.cast("string")))
-    phrases = items.select(F.array_join("w", " ").alias("en"), F.array_join(F.transform("w", lambda x: F.upper(x)), " ").alias("ch"), S.align_map(at).alias("aligns"), F.array(*(F.lit(0.5) for _ in range(4))).alias("scores"))
+    phrases = items.select(F.array_join("w", " ").alias("en"), F.array_join(F.transform("w", lambda x: F.concat(F.lit("x"), x)), " ").alias("ch"), S.align_map(at).alias("aligns"), F.array(*(F.lit(0.5) for _ in range(4))).alias("scores"))
     return projection.ranked(projection.project(patterns, phrases))
 
 
+@query(f"""{SPG} SELECT ' |||  ||| V sth ||| x' || keyword || ':V sth ||| 0.0625' || chr(10) AS value FROM best""")
+def spg_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spg_project(spark, sf_dir).withColumn("sents", F.lit(None).cast("array<array<string>>"))
+    return projection.rendered(projection.flattened(projection.nested(rows)))
+
+
+def part_lines(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    return numbered(read(spark, sf_dir, "part"), "p_partkey").select("line_no", value.alias("value"))
+
+
+PART_LINES = "l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line_no, * FROM part)"
+
+
+@query(f"WITH {PART_LINES} SELECT line_no, p_name AS value FROM l")
+def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "lines")
+    L.write_lines(part_lines(spark, sf_dir, F.col("p_name")), path)
+    return L.read_lines(spark, path)
+
+
+@query(f"WITH {PART_LINES} SELECT line_no, p_name AS left, p_brand || chr(9) || p_type AS right FROM l")
+def tsv_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.split_two(part_lines(spark, sf_dir, F.concat_ws("\t", "p_name", "p_brand", "p_type")))
+
+
+@query(f"WITH {PART_LINES} SELECT line_no, p_name || ' ' || p_brand AS text, p_type AS tag FROM l")
+def bar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.split_bar_tags(part_lines(spark, sf_dir, F.concat("p_name", F.lit("\t"), "p_brand", F.lit("|||"), "p_type")))
+
+
+@query(f"""
+WITH {PART_LINES} SELECT line_no, p_type AS en, p_name AS ch, p_size / 4.0::DOUBLE AS third, 0.5::DOUBLE AS first, '1:0 2:0,1' AS aligns FROM l""")
+def moses_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = (F.col("p_size") / 4).cast("string")
+    rows = part_lines(spark, sf_dir, F.concat("p_name", F.lit(" ||| "), "p_type", F.lit(" ||| "), score, F.lit(" 0.25 0.5 0.75 2.718 ||| 0-1 0-2 1-2 ||| 1 1")))
+    out = tables.phrase_table(rows, reverse=True)
+    shown = F.array_join(F.transform(F.map_entries("aligns"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.array_join(F.transform(e["value"], lambda v: v.cast("string")), ","))), " ")
+    return out.select("line_no", "en", "ch", F.get("scores", F.lit(2)).alias("third"), F.get("scores", F.lit(0)).alias("first"), shown.alias("aligns"))
+
+
+@query(f"WITH {PART_LINES} SELECT p_brand AS src, p_name AS tgt, p_size / 2.0::DOUBLE AS prob FROM l")
+def lexical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lexical_table(part_lines(spark, sf_dir, F.concat_ws(" ", "p_brand", "p_name", (F.col("p_size") / 2).cast("string"))))
+
+
+@query("SELECT p_brand AS keyword, p_size::BIGINT AS keyword_count, p_type AS pattern, p_name AS instance, p_type AS tag FROM part")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("keyword"), F.col("p_size").cast("long").alias("keyword_count"), F.col("p_type").alias("pattern"), F.lit(1).cast("long").alias("pattern_count"), F.array(F.struct(F.col("p_name").alias("instance"), F.create_map(F.lit("7"), "p_type").alias("tag"))).alias("instances"))
+    path = new_path(spark, "json")
+    tables.write_json_lines(rows, path)
+    return tables.read_json_lines(spark, path).select("keyword", "keyword_count", "pattern", F.explode("instances").alias("i")).select("keyword", "keyword_count", "pattern", "i.instance", F.element_at(tables.int_keys(F.col("i.tag")), 7).alias("tag"))
+
+
+@query(f"""
+WITH {PART_LINES}, w AS (SELECT line_no, p_name, string_split(p_name, ' ') AS w FROM l)
+SELECT line_no AS record, p_name AS words, upper(p_name) AS lemmas, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = len(w) THEN 'H-NP' ELSE 'I-NP' END), ' ') AS chunks FROM w""")
+def tagger_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of word, lemma, tag, chunk, entity lines for each name, then a blank line."""
+    rows = numbered(read(spark, sf_dir, "part"), "p_partkey")
+    block = F.concat(F.transform(X.tokens(F.col("p_name")), lambda w, i: F.concat_ws("\t", w, F.upper(w), F.lit("NN"), F.when(i == 0, "B-NP").otherwise("I-NP"), F.lit("O"))), F.array(F.lit("")))
+    flat = numbered(rows.select("line_no", F.posexplode(block).alias("at", "value")).withColumnRenamed("line_no", "n"), "n", "at").select("line_no", "value")
+    return tagged.from_blocks(flat).select("record", *(F.array_join(c, " ").alias(c) for c in ("words", "lemmas", "chunks")))
+
+
+@query("SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) <> len(string_split(p_type, ' '))")
+def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, tags = X.tokens(F.col("p_name")), X.tokens(F.col("p_type"))
+    return tagged.malformed(read(spark, sf_dir, "part").select("p_partkey", words.alias("words"), words.alias("lemmas"), tags.alias("poss"), tags.alias("chunks"))).select("p_partkey")
+
+
+@query("SELECT DISTINCT p_type AS word FROM part")
+def vocabulary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "vocabulary")
+    L.write_lines(part_lines(spark, sf_dir, F.concat("p_type", F.lit(" \t"))), path)
+    return L.read_vocabulary(spark, path)
+
+
+@query(f"""
+WITH {PART_LINES}, w AS (SELECT replace(p_name, ' ', '_') AS v FROM l)
+SELECT v, split_part(v, '_', 1) AS verb, len(string_split(v, '_'))::INTEGER AS n_words, substr(v, strpos(v, '_') + 1) AS rest FROM w""")
+def phrasal_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_lines(spark, sf_dir, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ")))
+    return L.phrasal_verbs(rows).withColumn("v", F.when(F.col("n_words") > 1, F.concat_ws("_", "verb", "rest")).otherwise(F.col("verb")))
+
+
+@query("SELECT p_partkey, p_name || chr(9) || p_type AS tab, array_to_string(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] || '/' || b[i]), ' ') AS slash FROM (SELECT *, string_split(p_name, ' ') AS a, string_split(p_type, ' ') AS b FROM part)")
+def output_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("zh_seg"), F.col("p_type").alias("tag"))
+    return rows.select("p_partkey", tables.cli_format("tab").alias("tab"), tables.cli_format("/").alias("slash"))
+
+
+@query(f"WITH {PART_LINES}, n AS (SELECT count(*) // 3 AS g FROM l) SELECT line_no // 3 AS record, string_agg(p_name, '|' ORDER BY line_no) AS v FROM l, n WHERE line_no // 3 < g GROUP BY line_no // 3")
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.groups_of(part_lines(spark, sf_dir, F.col("p_name")), 3).select("record", F.array_join("values", "|").alias("v"))
+
+
+@query(f"WITH {PART_LINES}, n AS (SELECT count(*) // 3 AS g FROM l) SELECT line_no // 3 AS line_no, CASE line_no % 3 WHEN 0 THEN 'src' ELSE 'tgt' END AS side, p_name AS value FROM l, n WHERE line_no % 3 < 2 AND line_no // 3 < g")
+def split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = lines.split_pairs(part_lines(spark, sf_dir, F.col("p_name")))
+    return a.withColumn("side", F.lit("src")).unionByName(b.withColumn("side", F.lit("tgt"))).select("line_no", "side", "value")
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '') AS joined, p_type AS bare FROM part")
+def separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part")
+    return rows.select("p_partkey", lines.remove_separator(F.col("p_name")).alias("joined"), lines.strip_stops(F.concat(F.lit("。。"), "p_type", F.lit("。"))).alias("bare"))
+
+
+@query("SELECT doc_id, text AS numbers, text AS latin FROM documents")
+def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", X.restore(X.mark_numbers(t), X.NUMBER, X.number_originals(t)).alias("numbers"), X.restore(X.mark_latin(t), X.LATIN, X.latin_originals(t)).alias("latin"))
+
+
+@query("SELECT p_partkey, TRY_CAST(p_name AS DOUBLE) IS NOT NULL AS name, TRY_CAST(p_size || '.5' AS DOUBLE) IS NOT NULL AS size, lower(p_type[1]) || p_type[2:] AS lower FROM part")
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", X.is_number(F.col("p_name")).alias("name"), X.is_number(F.concat(F.col("p_size").cast("string"), F.lit(".5"))).alias("size"), X.lower_first(F.col("p_type")).alias("lower"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents)
+SELECT doc_id, (list_position(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), w[3] || ' ' || w[4]) - 1)::INTEGER AS "at" FROM d WHERE len(w) >= 4""")
+def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = doc_words(spark, sf_dir).filter(F.size("words") >= 4)
+    return rows.select("doc_id", S.locate_run(F.col("words"), F.slice("words", 3, 2)).alias("at"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, list_filter(regexp_extract_all(replace(text, '.', '。'), '(?:「[^」]*」|[^。！？；])*[。！？；]*'), lambda x: x <> '') AS c FROM documents)
+SELECT doc_id, (i - 1)::INTEGER AS "at", c[i] AS sentence FROM c, unnest(range(1, len(c) + 1)) AS r(i)""")
+def chinese_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.chinese_sentences(F.replace("text", F.lit("."), F.lit("。")))).alias("at", "sentence"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS w FROM part), f AS (SELECT p_partkey, i, w[i] AS x FROM t, unnest(range(1, len(w) + 1)) AS r(i)),
+n AS (SELECT *, count(*) OVER (PARTITION BY p_partkey, x) AS k, row_number() OVER (PARTITION BY p_partkey, x ORDER BY i) AS j FROM f)
+SELECT p_partkey, string_agg(CASE WHEN k > 1 THEN x || j ELSE x END, ' ' ORDER BY i) AS pattern FROM n GROUP BY p_partkey""")
+def numbered_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", projection.numbered_pattern(F.concat_ws(" ", "p_name", "p_type", "p_name")).alias("pattern"))
+
+
+@query("""
+WITH e AS (SELECT p_brand AS wordpos, p_type AS pat, p_size::VARCHAR AS iocs, p_name AS example, count(*) AS k FROM part GROUP BY ALL),
+i AS (SELECT wordpos, pat, iocs, sum(k)::BIGINT AS iocs_cnt, max(k) AS example_cnt FROM e GROUP BY ALL),
+x AS (SELECT i.*, (SELECT min(example) FROM e WHERE e.wordpos = i.wordpos AND e.pat = i.pat AND e.iocs = i.iocs AND e.k = i.example_cnt) AS example,
+  row_number() OVER (PARTITION BY wordpos, pat ORDER BY iocs_cnt DESC, iocs)::INTEGER AS rank FROM i)
+SELECT wordpos, pat, rank, iocs, iocs_cnt, example, example_cnt FROM x WHERE rank <= 3""")
+def top_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("wordpos"), F.col("p_type").alias("pat"), F.col("p_size").cast("string").alias("iocs"), F.col("p_name").alias("example"))
+    return mining.top_instances(rows, rows.select("wordpos", "pat").distinct())
+
+
+@query(f"""
+WITH {ORDERED}, w AS (SELECT line_no, regexp_extract_all(value, '[A-Za-z]+') AS w FROM l), c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w[2:]) AS word FROM w) GROUP BY word),
+m AS (SELECT lower(word) AS lower, word AS usual FROM c QUALIFY row_number() OVER (PARTITION BY lower(word) ORDER BY n DESC, word) = 1),
+f AS (SELECT line_no, i, w[i] AS x FROM w, unnest(range(1, len(w) + 1)) AS r(i))
+SELECT line_no, string_agg(CASE WHEN i = 1 THEN coalesce(usual, x) ELSE x END, ' ' ORDER BY i) AS value FROM f LEFT JOIN m ON lower(x) = m.lower GROUP BY line_no""")
+def truecase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(conversation_lines(spark, sf_dir).select("line_no", F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)).alias("words")), "lines")
+    return counting.truecase(rows, counting.truecase_model(rows), "line_no")
+
+
 @query()
 def grammar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(buckets_rows(default_grammar()), "keyword string, pattern string, length int, at int, grp string")
