@@ -59,13 +59,14 @@ def _grams(df: DataFrame, *keep: str) -> DataFrame:
     return df.withColumn("_c", F.split("_chars", "")).select(*keep, F.explode(every).alias("_gram"))
 
 
-def gram_weights(examples: DataFrame) -> tuple[DataFrame, float]:
-    """Weight of each n-gram (_gram, _weight) and the constant of each character.
+def gram_weights(examples: DataFrame) -> tuple[DataFrame, float, float]:
+    """Weight of each n-gram (_gram, _weight), the constant of each character, and that of each URL.
 
     examples: _chars, _good. With P the interpolated probability, L = log P_good / P_bad, and B(h) the log ratio of what the two models hand
     down from context h, an n-gram g = hc weighs L(g) - L(g without its first character) - B(h),
     plus B(g), as a context of the next character. Summed over a URL, this gives for each
-    character L of its longest known n-gram plus B of the longer known contexts.
+    character L of its longest known n-gram plus B of the longer known contexts. The contexts of the first
+    character are start marks, which end no n-gram: their B is each URL's constant.
     """
     counts = _grams(examples, "_good").groupBy("_gram").agg(F.count_if(F.col("_good")).alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
     counts = materialise(counts.withColumn("_context", F.expr("left(_gram, length(_gram) - 1)")), "grams")
@@ -88,17 +89,18 @@ def gram_weights(examples: DataFrame) -> tuple[DataFrame, float]:
     for more in done[1:]:
         grams = grams.unionByName(more)
     weights = grams.join(contexts.select(F.col("_context").alias("_gram"), F.col("_down").alias("_next")), "_gram", "left")
-    constant = contexts.filter(F.col("_context") == "").select("_down").collect()
-    return materialise(weights.select("_gram", (F.col("_own") + F.coalesce(F.col("_next"), F.lit(0.0))).alias("_weight")), "weights"), constant[0][0] if constant else 0.0
+    marks = {r[0]: r[1] for r in contexts.filter(F.col("_context").isin(*("^" * k for k in range(ORDER)))).select("_context", "_down").collect()}
+    weights = materialise(weights.select("_gram", (F.col("_own") + F.coalesce(F.col("_next"), F.lit(0.0))).alias("_weight")), "weights")
+    return weights, marks.get("", 0.0), sum(b for c, b in marks.items() if c)
 
 
-def scored(urls: DataFrame, weights: DataFrame, constant: float, broadcast_rows: int) -> DataFrame:
+def scored(urls: DataFrame, weights: DataFrame, constant: float, start: float, broadcast_rows: int) -> DataFrame:
     """(_id, score) of urls (_id, _chars): log-likelihood difference per character."""
     small = weights.limit(broadcast_rows + 1).count() <= broadcast_rows
     sized = urls.withColumn("_length", F.length("_chars") - (ORDER - 1))
     hits = _grams(sized, "_id", "_length").join(F.broadcast(weights) if small else weights, "_gram", "left")
     length = F.first("_length")
-    return hits.groupBy("_id").agg((F.sum(F.coalesce("_weight", F.lit(0.0))) / length + F.lit(constant)).alias("score"))
+    return hits.groupBy("_id").agg(((F.sum(F.coalesce("_weight", F.lit(0.0))) + F.lit(start)) / length + F.lit(constant)).alias("score"))
 
 
 def _threshold(examples: DataFrame) -> float:
@@ -130,11 +132,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     distinct = base.filter("_url is not null").groupBy("_id", "_chars", "_said").agg(F.count("*").alias("_n"))
     distinct = materialise(distinct.withColumn("_good", F.col("_said") == "allow").withColumn("_held", F.pmod(F.xxhash64("_chars"), F.lit(5)) == 0), "urls")
     examples = distinct.filter("_said is not null")
-    weights, constant = gram_weights(examples.filter(~F.col("_held")))
+    weights, constant, start = gram_weights(examples.filter(~F.col("_held")))
     both = examples.agg(F.count_if(F.col("_good")).alias("g"), F.count_if(~F.col("_good")).alias("b")).first()
     if not (both["g"] and both["b"]):
         return base.select("page_id", "host", "path", "rule", F.coalesce("_said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    scores = materialise(scored(distinct.filter("_said is null or _held").select("_id", "_chars").distinct(), weights, constant, broadcast_rows), "scores")
+    scores = materialise(scored(distinct.filter("_said is null or _held").select("_id", "_chars").distinct(), weights, constant, start, broadcast_rows), "scores")
     threshold = _threshold(examples.filter("_held").join(scores, "_id"))
     known = base.filter("_said is not null or _url is null").withColumn("score", F.lit(None).cast("double"))
     judged = base.filter("_said is null and _url is not null").join(scores, "_id", "left")
