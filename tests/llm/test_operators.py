@@ -167,6 +167,40 @@ def test_url_filter(spark):
     assert {r.verdict for r in filter_urls(pages.filter("page_id < 3")).collect()} == {"allow"}
 
 
+def test_url_scores(spark):
+    """Scores against Witten-Bell models written out character by character."""
+    from millrace.llm import url_filter as U
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    urls = [f"http://{word(3)}.net/{word(4)}" for _ in range(30)] + [f"https://{word(2)}.org/fr/{word(5)}" for _ in range(30)] + [f"http://{word(4)}.io/{word(6)}?x={k}" for k in range(20)] + ["ftp://é漢/" + "ab" * 10_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.score for r in filter_urls(pages).collect()}
+    seen = pages.select("url", U._characters(F.col("url")).alias("c"))
+    chars = {r.url: (r.c, r.held) for r in seen.withColumn("held", F.pmod(F.xxhash64("c"), F.lit(5)) == 0).collect()}
+    follow = {True: defaultdict(Counter), False: defaultdict(Counter)}
+    for c, good in {(chars[u][0], ".org/fr/" in u) for u in urls if (".net/" in u or ".org/fr/" in u) and not chars[u][1]}:
+        for i in range(3, len(c)):
+            for k in range(4):
+                follow[good][c[i - k : i]][c[i]] += 1
+
+    def p(good, c, i):
+        out = 1 / len(U.ALPHABET)
+        for k in range(4):
+            after = follow[good].get(c[i - k : i])
+            if after:
+                n, t = sum(after.values()), len(after)
+                out = (after[c[i]] + t * out) / (n + t)
+        return out
+
+    for k, u in enumerate(urls):
+        if not (".net/" in u or ".org/fr/" in u):
+            c = chars[u][0]
+            assert got[k] == pytest.approx(np.mean([np.log(p(True, c, i) / p(False, c, i)) for i in range(3, len(c))]), abs=1e-9), u
+        else:
+            assert got[k] is None
+
+
 def test_bpe(docs, rows, none, monkeypatch):
     import public_tokenizers
     import tiktoken
@@ -387,6 +421,42 @@ def test_quality_classifier(spark, none):
     assert {r.score for r in score_quality(spark.createDataFrame(rows[:5], SCHEMA), marks.limit(0)).collect()} == {0.5}
 
 
+def test_quality_network_place_by_place():
+    from millrace.llm import quality_classifier as Q
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab cd#") for _ in range(n)).encode() for n in (0, 1, 5, 255, 256, 257, 449, 2000, 300_000, 40, 700, 90)]
+    net = Q.train(texts[:8] + texts[9:], np.arange(11) % 2, np.ones(11), epochs=1)
+    for text, score in zip(texts[:8], net.scores(texts)):
+        starts = range(0, max(1, len(text) - (Q.LENGTH - Q.ADVANCE)), Q.ADVANCE)
+        pooled = []
+        for at in starts:
+            chunk = text[at : at + Q.LENGTH].ljust(Q.LENGTH, b"\0")
+            best = [max(sum(float(net.filters[k][chunk[p + k]][f]) for k in range(Q.WIDTH)) for p in range(0, Q.LENGTH - Q.WIDTH + 1, Q.STEP)) for f in range(Q.FILTERS)]
+            pooled.append([max(0.0, b + float(net.shift[f])) for f, b in enumerate(best)])
+        x = [sum(c) / len(pooled) for c in zip(*pooled)] + [max(c) for c in zip(*pooled)] + [min(c) for c in zip(*pooled)]
+        h = [np.tanh(sum(x[i] * float(net.hidden[i][j]) for i in range(len(x))) + float(net.hidden_shift[j])) for j in range(Q.HIDDEN)]
+        z = sum(a * float(b) for a, b in zip(h, net.out)) + float(net.out_shift[0])
+        assert score == pytest.approx(1 / (1 + np.exp(-(net.scale[0] * z + net.scale[1]))), abs=1e-4)
+
+
+def test_language_scores_gram_by_gram(monkeypatch):
+    from millrace.llm import language_id as I
+
+    model = I.train([b"aab bba abab " * 3, b"xyx yxxy zyx " * 3, b"abba", b"xyzzy"] * 5, ["p", "q", "p", "q"] * 5, epochs=1)
+    monkeypatch.setattr(I, "BLOCK", 7)
+    for text in (b"a", b"ab", b"abax yxb", "é漢字 aab xyz".encode() * 5):
+        total, n = np.zeros(2), 0
+        for i in range(len(text)):
+            h = 0
+            for k in range(min(4, len(text) - i)):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (text[i + k] + 1 + k)
+                if k + 1 in I.ORDERS:
+                    total, n = total + model.table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 17], n + 1
+        x = (total / max(n, 1) + model.bias) / model.temperature
+        assert model.probabilities(text) == pytest.approx(np.exp(x) / np.exp(x).sum(), abs=1e-5)
+
+
 def test_language_id(spark, none):
     rng = random.Random(5)
     kinds = {"x": "aeioulmn", "y": "krstpgdz"}
@@ -403,11 +473,14 @@ def test_language_id(spark, none):
     assert identify(none).count() == 0
 
 
-def test_near_components(docs, rows, none):
-    sets = {}
-    for r in rows:
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or ""))
-        sets[r[0]] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+def _shingles(text, size):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def _components(texts, size, percent):
+    """The smallest id reachable by links, by comparing all pairs."""
+    sets = {i: _shingles(t, size) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(i):
@@ -417,10 +490,33 @@ def test_near_components(docs, rows, none):
 
     for i in sorted(sets):
         for j in sorted(sets):
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    want = {i: (len(s), find(i)) for i, s in sets.items()}
+    return {i: find(i) for i in sets}
+
+
+def test_near_components_of_every_size(spark):
+    # copies with more and more changed words, around the threshold, of sets on both sides of the boundary and of a map's doubling
+    rng = random.Random(12)
+    made = []
+    for n in (6, 9, 14, 30, 61, 66, 250, 515, 700, 1030):
+        base = [f"w{n}x{k}" for k in range(n)]
+        made.append(base)
+        for share in (0.01, 0.03, 0.035, 0.04, 0.045, 0.06):
+            made.append([f"c{rng.random()}" if rng.random() < share else w for w in base])
+            made.append(base[: round(n * (1 - 4 * share))])
+    texts = {i: " ".join(w) for i, w in enumerate(made)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    roots = _components(texts, 4, 85)
+    assert table(near_components(docs), "doc_id", "n_shingles", "component_id") == {i: (len(_shingles(t, 4)), roots[i]) for i, t in texts.items()}
+    assert 12 < len(set(roots.values())) < len(texts)
+
+
+def test_near_components(docs, rows, none):
+    texts = {r[0]: r[1] for r in rows}
+    sets, roots = {i: _shingles(t, 4) for i, t in texts.items()}, _components(texts, 4, 85)
+    want = {i: (len(s), roots[i]) for i, s in sets.items()}
     assert table(near_components(docs), "doc_id", "n_shingles", "component_id") == want
     assert near_components(none).count() == 0
 
@@ -454,6 +550,7 @@ def test_pipeline_on_clashing_columns(spark, docs, rows, tmp_path):
     unique = stages["exact dedup"](spark, good, path)
     assert ids(unique) == sorted(min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in groups.values())
     apart = stages["n-gram Jaccard join"](spark, unique, path)
+    assert ids(apart) == sorted(i for i, root in _components({i: texts[i] for i in ids(unique)}, 5, 80).items() if i == root)
     mixed = stages["mixing sources to target weights"](spark, apart, path)
     taken = {r.doc_id: r.copies for r in mix_sources(apart).collect()}
     assert ids(mixed) == sorted(i for i, n in taken.items() for _ in range(n)) and mixed.columns == docs.columns
