@@ -15,8 +15,10 @@ NUMERALS = "〇一二兩三四五六七八九十百千萬億兆"
 #: Punctuation before a Latin word that belongs to its placeholder.
 _LATIN_JOINERS = r"\-/.﹒~—─=*&_’"
 NUMBER, LATIN = "{{CD}}", "{{FW}}"
-_NUMBER_PARTS = rf"\{{\{{.*?\}}\}}|\{{\{{.*$|[{NUMERALS}]+|[0-9]+|(?s:.)"
-_LATIN_PARTS = rf"\{{\{{.*?\}}\}}|\{{\{{.*$|[{_LATIN_JOINERS}]*[A-Za-z][A-Za-z{_LATIN_JOINERS}]*|(?s:.)"
+_NUMBER = rf"[{NUMERALS}]+|[0-9]+"
+_LATIN = rf"[{_LATIN_JOINERS}]*[A-Za-z][A-Za-z{_LATIN_JOINERS}]*"
+#: Placeholders, the head of one that isn't closed, and runs of text between them.
+_PARTS = r"(\{\{.*?\}\}|\{\{.*$|[^{]++|\{)"
 
 
 def squeeze(c: Column) -> Column:
@@ -33,27 +35,35 @@ def to_half_width(c: Column) -> Column:
     return F.translate(c, _WIDE, _NARROW)
 
 
-def _parts(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+def _marked(c: Column, pattern: str, placeholder: str) -> Column:
+    """What the pattern finds outside placeholders gives way to a placeholder."""
+    parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("{{"), x).otherwise(F.regexp_replace(x, pattern, placeholder))), "")
+
+
+def _originals(c: Column, pattern: str, placeholder: str) -> Column:
+    parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
+    own = lambda x: F.when(x == placeholder, F.array(x)).when(x.startswith("{{"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)))
+    return F.flatten(F.transform(parts, own))
 
 
 def mark_numbers(c: Column) -> Column:
     """Runs of numerals or digits outside {{...}} become {{CD}}."""
-    return F.array_join(F.transform(_parts(c, _NUMBER_PARTS), lambda x: F.when(x.rlike(f"^([{NUMERALS}]+|[0-9]+)$"), NUMBER).otherwise(x)), "")
+    return _marked(c, _NUMBER, NUMBER)
 
 
 def number_originals(c: Column) -> Column:
     """What mark_numbers replaces, in order; placeholders already there stand for themselves."""
-    return F.filter(_parts(c, _NUMBER_PARTS), lambda x: x.rlike(f"^([{NUMERALS}]+|[0-9]+)$") | (x == NUMBER))
+    return _originals(c, _NUMBER, NUMBER)
 
 
 def mark_latin(c: Column) -> Column:
     """Latin words with their joiners, outside {{...}}, become {{FW}}."""
-    return F.array_join(F.transform(_parts(c, _LATIN_PARTS), lambda x: F.when(x.rlike("[A-Za-z]") & ~x.startswith("{{"), LATIN).otherwise(x)), "")
+    return _marked(c, _LATIN, LATIN)
 
 
 def latin_originals(c: Column) -> Column:
-    return F.filter(_parts(c, _LATIN_PARTS), lambda x: (x.rlike("[A-Za-z]") & ~x.startswith("{{")) | (x == LATIN))
+    return _originals(c, _LATIN, LATIN)
 
 
 def restore(c: Column, placeholder: str, originals: Column) -> Column:
