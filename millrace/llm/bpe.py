@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import held
+
 #: White space of the Unicode property, as the pattern's \s means it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Places kept before tokens that are agreed on are emitted.
 _LOOKAHEAD = 512
 _MOST_MOVES = 200_000
-_MOST_PIECES = 300_000
+_MOST_PIECES = 150_000
 _MOST_PAIRS = 250_000
 
 
@@ -261,16 +263,9 @@ class Decoder:
         state.close()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_for(ranks: bytes) -> Encoder:
     """The encoder of a rank file; a worker process keeps it for its next tasks."""
-    name = hashlib.sha256(ranks).hexdigest()
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(read_ranks(ranks))
-    return _ENCODERS[name]
+    return held(f"bpe {hashlib.sha256(ranks).hexdigest()}", lambda: Encoder(read_ranks(ranks)))
 
 
 def goes_beyond(text: str) -> bool:

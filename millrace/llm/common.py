@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,16 @@ def text_of(column: str) -> Column:
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """The one large table that a worker process keeps for its next tasks; asking for another lets it go."""
+    if name not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+        _held[name] = make()
+    return _held[name]

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import goes_beyond, has_astral, splitter
+from millrace.llm.common import held
 from millrace.llm.words import mix
 from millrace.plans.scratch import materialise
 
@@ -125,15 +126,8 @@ class LibraryEncoder:
         return b"".join(map(self._ids_of, self._basic(text)))
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def _encoder(file_text: str) -> LibraryEncoder:
-    name = hashlib.sha256(file_text.encode()).hexdigest()
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = LibraryEncoder(file_text)
-    return _ENCODERS[name]
+    return held(f"library {hashlib.sha256(file_text.encode()).hexdigest()}", lambda: LibraryEncoder(file_text))
 
 
 def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from millrace.llm.common import held
+
 _A = np.uint64(0x9E3779B97F4A7C15)
 _MOST_WORDS = 200_000
 
@@ -19,11 +21,8 @@ class _Words(dict):
         return h
 
 
-_hash_of = _Words().__getitem__
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    return np.fromiter(map(held("words", _Words).__getitem__, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
