@@ -178,13 +178,17 @@ def invert_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT item_id AS phrase_id, array_to_string(string_split_regex(text, '[ \\t\\n]+')[3:5], ' ') AS ph FROM benchmark),
-m AS MATERIALIZED (SELECT phrase_id, ph, doc_id, text FROM p, documents WHERE contains(text, ph)),
-w AS (SELECT phrase_id, doc_id, string_split(ph, ' ') AS a, string_split_regex(text, '[ \\t\\n]+') AS b FROM m)
-SELECT phrase_id, doc_id AS line_no FROM w WHERE len(a) >= 2 AND list_has_all(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]), list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))""")
+WITH p AS (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM benchmark)),
+r AS (SELECT item_id || ':' || i AS phrase_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS ph, list_distinct([w[i] || ' ' || w[i + 1], w[i + 1] || ' ' || w[i + 2]]) AS grams FROM p),
+b AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM b)),
+m AS (SELECT phrase_id, ph, doc_id FROM (SELECT phrase_id, ph, len(grams) AS n, unnest(grams) AS gram FROM r) JOIN d USING (gram) GROUP BY phrase_id, ph, n, doc_id HAVING count(*) = n)
+SELECT phrase_id, doc_id AS line_no FROM m JOIN documents USING (doc_id) WHERE contains(text, ph)""")
 def sentence_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a run of three words of a benchmark item, for every such run."""
     words = F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")
-    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(words, 3, 3), " ").alias("en_phrase"), F.lit("").alias("ch_phrase"))
+    runs = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(S.ngrams(words, 3)).alias("at", "en_phrase"))
+    phrases = runs.select(F.concat_ws(":", "item_id", F.col("at") + 1).alias("phrase_id"), "en_phrase", F.lit("").alias("ch_phrase"))
     sents = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("en"), F.lit("").alias("ch"))
     return projection.sentence_matches(phrases, sents).select("phrase_id", "line_no")
 
@@ -309,18 +313,30 @@ def lm_bigram_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.kneser_ney(doc_words(spark, sf_dir), 2).filter("n = 2").select("gram", F.round("prob", 6).alias("prob"))
 
 
+@query()
+def lm_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders up to the default of six, with back-off weights."""
+    return lm.kneser_ney(doc_words(spark, sf_dir)).select("n", "gram", F.round("prob", 6).alias("prob"), F.round("backoff", 6).alias("backoff"))
+
+
+ROUNDS = ",\n".join(
+    f"""p{k} AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM c{k}),
+c{k + 1} AS (SELECT s, t, sum(q) AS c FROM (SELECT a.s, a.t, p * a * b / sum(p * a) OVER (PARTITION BY conv_id, k, a.t) AS q FROM a JOIN p{k} ON a.s = p{k}.s AND a.t = p{k}.t) GROUP BY ALL)"""
+    for k in range(1, 5)
+)
+
+
 @query(f"""
 WITH {TURNS}, s AS (SELECT conv_id, k, unnest(src) AS s, tgt FROM pairs),
 w AS (SELECT conv_id, k, s, t, count(*) AS n FROM s, unnest(tgt) AS r(t) GROUP BY ALL),
 m AS (SELECT conv_id, k, t, count(*)::DOUBLE AS b FROM (SELECT conv_id, k, unnest(tgt) AS t FROM pairs) GROUP BY ALL),
 a AS (SELECT w.conv_id, w.k, s, w.t, n / b AS a, b FROM w JOIN m ON w.conv_id = m.conv_id AND w.k = m.k AND w.t = m.t),
 c1 AS (SELECT s, t, sum(q) AS c FROM (SELECT s, t, a * b / sum(a) OVER (PARTITION BY conv_id, k, t) AS q FROM a) GROUP BY ALL),
-p1 AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM c1),
-c2 AS (SELECT s, t, sum(q) AS c FROM (SELECT a.s, a.t, p * a * b / sum(p * a) OVER (PARTITION BY conv_id, k, a.t) AS q FROM a JOIN p1 ON a.s = p1.s AND a.t = p1.t) GROUP BY ALL)
-SELECT s, t, round(c / sum(c) OVER (PARTITION BY s), 6) AS p FROM c2""")
+{ROUNDS}
+SELECT s, t, round(c / sum(c) OVER (PARTITION BY s), 6) AS p FROM c5""")
 def ibm1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = turn_pairs(spark, sf_dir).withColumn("pair_id", F.xxhash64("conv_id", "k"))
-    return align.model_one(pairs, 2).select("s", "t", F.round("p", 6).alias("p"))
+    return align.model_one(pairs, 5).select("s", "t", F.round("p", 6).alias("p"))
 
 
 #: Characters that stand for a to z in toktag, neither Latin nor numerals nor clause marks.
@@ -360,18 +376,21 @@ def collocation_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPG = """
-WITH i AS (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark), p AS (SELECT w, array_to_string(w, ' ') AS en FROM i WHERE len(w) >= 3),
-best AS (SELECT a.w[1] AS keyword, min(b.en) AS en FROM p a JOIN p b ON contains(' ' || b.en || ' ', ' ' || array_to_string(a.w[1:3], ' ') || ' ') GROUP BY a.w[1])"""
+WITH p AS (SELECT w, array_to_string(w, ' ') AS en FROM (SELECT string_split_regex(trim(text), '\\s+') AS w FROM benchmark) WHERE len(w) >= 3),
+r AS (SELECT DISTINCT w[i] AS keyword, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+best AS (SELECT keyword, min(en) AS en FROM r JOIN p ON contains(' ' || en || ' ', ' ' || run || ' ') GROUP BY keyword)"""
 
 
 @query(f"""{SPG}
 SELECT keyword, 1::BIGINT AS keyword_count, 'V sth' AS pattern, 1::BIGINT AS pattern_count, 'x' || keyword || ':V sth' AS ch_pattern, 0.25::DOUBLE AS phrase_prob,
   0.25::DOUBLE AS lex_prob, 0.0625::DOUBLE AS prob, en AS en_phrase, array_to_string(list_transform(string_split(en, ' '), lambda x: 'x' || x), ' ') AS ch_phrase FROM best""")
 def spg_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of three words as an instance of its first word."""
     words = X.tokens(F.col("text"))
     items = read(spark, sf_dir, "benchmark").withColumn("w", words).filter(F.size("w") >= 3)
     tags = F.create_map(F.lit("0"), F.lit("V"), F.lit("2"), F.lit("sth"))
-    patterns = items.select(F.get("w", F.lit(0)).alias("keyword"), F.lit(1).cast("long").alias("keyword_count"), F.lit("V sth").alias("pattern"), F.lit(1).cast("long").alias("pattern_count"), F.array(F.struct(F.array_join(F.slice("w", 1, 3), " ").alias("instance"), tags.alias("tag"))).alias("instances"))
+    runs = items.select(F.explode(S.ngrams(F.col("w"), 3)).alias("run")).distinct()
+    patterns = runs.select(F.substring_index("run", " ", 1).alias("keyword"), F.lit(1).cast("long").alias("keyword_count"), F.lit("V sth").alias("pattern"), F.lit(1).cast("long").alias("pattern_count"), F.array(F.struct(F.col("run").alias("instance"), tags.alias("tag"))).alias("instances"))
     at = F.transform("w", lambda x, i: F.concat_ws("-", i.cast("string"), i.cast("string")))
     phrases = items.select(F.array_join("w", " ").alias("en"), F.array_join(F.transform("w", lambda x: F.concat(F.lit("x"), x)), " ").alias("ch"), S.align_map(at).alias("aligns"), F.array(*(F.lit(0.5) for _ in range(4))).alias("scores"))
     return projection.ranked(projection.project(patterns, phrases))
