@@ -92,5 +92,6 @@ def cli_format(style: str) -> Column:
     if style == "tab":
         return F.concat_ws("\t", "zh_seg", "tag")
     if style == "/":
-        return slash_joined(F.split("zh_seg", " "), F.split("tag", " "))
+        parts = lambda c: F.filter(F.split(c, " "), lambda x: x != "")  # noqa: E731 - an empty line has none
+        return slash_joined(parts("zh_seg"), parts("tag"))
     raise ValueError(f"unknown format {style}")
