@@ -291,6 +291,42 @@ def test_language_model(spark):
     assert model["a b"] == model[("a", "b")] < 0
 
 
+def test_language_model_of_order_six(spark):
+    """Against plain interpolated Kneser-Ney with modified discounts, all orders."""
+    rng = random.Random(4)
+    sents = [rng.choices("abcde", [8, 4, 2, 1, 1], k=rng.randint(1, 12)) for _ in range(150)]
+    raw = {}
+    for sent in sents:
+        w = ("<s>", *sent, "</s>")
+        for k in range(1, 7):
+            for i in range(len(w) - k + 1):
+                raw[w[i : i + k]] = raw.get(w[i : i + k], 0) + 1
+    counts, gammas, probs = {}, {}, {}
+    for g, n in raw.items():
+        if g != ("<s>",):
+            counts[g] = n if len(g) == 6 or g[0] == "<s>" else sum(x[1:] == g for x in raw if len(x) == len(g) + 1)
+    for k in range(1, 7):
+        own = {g: n for g, n in counts.items() if len(g) == k}
+        t = [sum(n == m for n in own.values()) for m in range(1, 5)]
+        d = [0.2] * 3
+        if all(t):
+            y = t[0] / (t[0] + 2 * t[1])
+            found = [m - (m + 1) * y * t[m] / t[m - 1] for m in (1, 2, 3)]
+            d = found if all(0 <= x <= m for m, x in enumerate(found, 1)) else d
+        of_context = {}
+        for g, n in own.items():
+            of_context.setdefault(g[:-1], []).append(n)
+        gammas |= {h: sum(d[min(n, 3) - 1] for n in ns) / sum(ns) for h, ns in of_context.items()}
+        for g, n in own.items():
+            below = probs[g[1:]] if k > 1 else 1 / (len(own) + 1)
+            probs[g] = (n - d[min(n, 3) - 1]) / sum(of_context[g[:-1]]) + gammas[g[:-1]] * below
+    got = {tuple(r.gram.split()): r for r in lm.kneser_ney(spark.createDataFrame([(s,) for s in sents], "words array<string>")).collect()}
+    assert got.keys() == {*probs, ("<s>",), ("<unk>",)}
+    for g, p in probs.items():
+        assert got[g].n == len(g) and got[g].prob == pytest.approx(math.log10(p))
+        assert got[g].backoff is None if g not in gammas else got[g].backoff == pytest.approx(math.log10(gammas[g]))
+
+
 def test_tagger(spark):
     phrases = spark.createDataFrame([("我", "我", "Nh", 5, -1.0), ("下週", "下 週", "Nes Nf", 3, -2.0), ("下", "下", "Nes", 3, -9.0)], "zh string, zh_seg string, tag string, count int, pr double")
     tags = spark.createDataFrame([(["Nh", "Nes", "Nf"],)], "words array<string>")
