@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import align
+from millrace.operators import align, counting
 
 
 def _sentences(n, seed=3):
@@ -47,3 +47,12 @@ def test_alignment_with_empty_sides_and_the_null_word(spark):
     pairs = spark.createDataFrame(rows, "pair_id bigint, src array<string>, tgt array<string>")
     assert {(r.s, r.t): r.p for r in align.model_one(pairs, 2).collect()} == pytest.approx({("a", "x"): 0.5, ("a", "y"): 0.5})
     assert {(r.s, r.t) for r in align.model_one(pairs, 1, null_word=True).collect()} == {("a", "x"), ("a", "y"), ("NULL", "x"), ("NULL", "y")}
+
+
+def test_cooccurrence_shuffles_no_word_pairs(spark):
+    rows = _sentences(60)
+    pairs = spark.createDataFrame(rows, "pair_id bigint, src array<string>, tgt array<string>")
+    out = counting.cooccurrence(pairs)
+    assert sorted((r.src, r.tgt) for r in out.collect()) == sorted({(s, t) for _, a, b in rows for s in a for t in b})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(src" not in plan and "Generate explode" not in plan
