@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import char_tokens, latin_originals, mark_latin, mark_numbers, number_originals, preprocess, restore, squeeze, to_half_width
 from millrace.operators.lm import BackoffModel
+from millrace.plans.lookup import attach
 from millrace.plans.scratch import materialise
 
 LONGEST, BEAM, UNKNOWN_TAG, UNKNOWN_PR = 15, 5, "Nb", -17.0
@@ -102,15 +103,17 @@ def with_phrases(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 def tag_lines(lines: DataFrame, phrases: DataFrame, lm: BackoffModel, value: str = "value", most_phrases: int = 3_000_000) -> DataFrame:
     """lines with zh, zh_seg, tag, tag_cat and pr; an empty line gets empty strings and 0.
 
-    Only phrases that occur in the lines are looked up, in a table that is sent to the executors. More than
+    Each distinct text is searched once, and its reading joined to the lines that hold it. Only phrases that occur in
+    the lines are looked up, in a table that is sent to the executors. More than
     ``most_phrases`` are joined to the lines instead: each line then brings its own table. Folding and placeholders
     are column expressions; the search itself runs in an Arrow function.
     """
     spark = lines.sparkSession
+    every, lines = lines, materialise(lines.select(value).distinct(), "texts")
     needed = materialise(needed_phrases(lines, phrases, value).select("zh", "zh_seg", "tag", "pr"), "needed_phrases")
     joined = needed.limit(most_phrases + 1).count() > most_phrases
     shared = spark.sparkContext.broadcast(({} if joined else table_of(r.asDict() for r in needed.collect()), lm))
-    folded = lines.withColumn("_folded", to_half_width(squeeze(F.col(value))))
+    folded = lines.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("_folded", to_half_width(squeeze(F.col(value))))
     ready = folded.withColumn("_numbers", number_originals(F.col("_folded"))).withColumn("_marked", mark_numbers(F.col("_folded"))).withColumn("_latin", latin_originals(F.col("_marked"))).withColumn("_tokens", char_tokens(mark_latin(F.col("_marked"))))
     keep = [c for c in ready.columns if c not in ("_folded", "_marked", "_tokens")]
     if joined:
@@ -135,4 +138,5 @@ def tag_lines(lines: DataFrame, phrases: DataFrame, lm: BackoffModel, value: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name in keep)
     done = ready.mapInArrow(tagged, f"{schema}, zh string, zh_seg string, tag string, tag_cat string, pr double")
     seg = restore(restore(F.col("zh_seg"), "{{CD}}", F.col("_numbers")), "{{FW}}", F.col("_latin"))
-    return done.withColumn("zh_seg", seg).drop("_numbers", "_latin")
+    readings = materialise(done.withColumn("zh_seg", seg).drop("_numbers", "_latin"), "readings")
+    return attach(every, readings, value, salts=1)

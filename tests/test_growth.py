@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import align, counting
+from millrace.operators import align, counting, lm, tagger
 
 
 def _sentences(n, seed=3):
@@ -56,3 +56,16 @@ def test_cooccurrence_shuffles_no_word_pairs(spark):
     assert sorted((r.src, r.tgt) for r in out.collect()) == sorted({(s, t) for _, a, b in rows for s in a for t in b})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(src" not in plan and "Generate explode" not in plan
+
+
+def test_tagger_searches_each_text_once(spark, monkeypatch):
+    taken = []
+    keep = tagger.needed_phrases
+    monkeypatch.setattr(tagger, "needed_phrases", lambda lines, *a: taken.append(lines.count()) or keep(lines, *a))
+    lines = spark.range(40).select("id", F.when(F.col("id") % 4 < 3, F.concat(F.lit("甲乙"), (F.col("id") % 4).cast("string"))).alias("value"))
+    phrases = spark.createDataFrame([("甲乙", "甲 乙", "Na Nb", -1.0)], "zh string, zh_seg string, tag string, pr double")
+    out = tagger.tag_lines(lines, phrases, lm.BackoffModel({"<unk>": (-1.0, None)}, 1))
+    assert out.columns == ["id", "value", "zh", "zh_seg", "tag", "tag_cat", "pr"] and taken == [4]
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 40 and all(r.value is None or r.value in r.zh_seg.replace(" ", "") for r in got.values())
+    assert got[6].zh_seg == got[2].zh_seg and (got[3].zh, got[3].pr) == ("", 0.0)
