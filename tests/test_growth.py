@@ -1,12 +1,13 @@
 """What grows with the input: rows in scratch tables and shuffles, work done twice."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import align, counting, lm, tagger
+from millrace.operators import align, counting, lm, tagger, windows
 
 
 def _sentences(n, seed=3):
@@ -69,3 +70,17 @@ def test_tagger_searches_each_text_once(spark, monkeypatch):
     got = {r.id: r for r in out.collect()}
     assert len(got) == 40 and all(r.value is None or r.value in r.zh_seg.replace(" ", "") for r in got.values())
     assert got[6].zh_seg == got[2].zh_seg and (got[3].zh, got[3].pr) == ("", 0.0)
+
+
+def test_phrases_by_packed_windows(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PART_TOKENS", 50)
+    rng = random.Random(5)
+    rows = [([w := rng.choices(["a", "b", "ß", "d e"], k=rng.randint(0, 9)), [f"T{len(x)}{rng.randint(0, 1)}" for x in w]]) for _ in range(80)] + [(None, None), (["solo"], ["T"])]
+    want = Counter((" ".join(w[i : i + k]), " ".join(t[i : i + k])) for w, t in rows if w for k in range(1, 6) for i in range(len(w) - k + 1))
+    out = counting.phrase_counts(spark.createDataFrame(rows, "words array<string>, tags array<string>"))
+    assert "gram" not in str(out.columns) and out.count() == len(want)
+    got = {(r.zh_seg, r.tag): r for r in out.collect()}
+    assert {k: r["count"] for k, r in got.items()} == dict(want)
+    assert got["solo", "T"].pr == pytest.approx(math.log(1 / sum(want.values()))) and got["solo", "T"].zh == "solo"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastNestedLoopJoin" not in plan
