@@ -82,5 +82,18 @@ def test_phrases_by_packed_windows(spark, monkeypatch):
     got = {(r.zh_seg, r.tag): r for r in out.collect()}
     assert {k: r["count"] for k, r in got.items()} == dict(want)
     assert got["solo", "T"].pr == pytest.approx(math.log(1 / sum(want.values()))) and got["solo", "T"].zh == "solo"
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_language_model_counts_once(spark, monkeypatch):
+    written, keep = [], lm.materialise
+    monkeypatch.setattr(lm, "materialise", lambda df, label: written.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    sents = spark.createDataFrame([(["a", "b", "a"],), (["b"],), ([],)], "words array<string>")
+    tables = lm.adjusted_counts(sents, 3)
+    assert all("Generate" not in plan for _, plan in written)
+    assert {(r.gram, r.n) for t in tables for r in t.collect()} == {
+        ("a", 2), ("b", 2), ("</s>", 3), ("<s> a", 1), ("<s> b", 1), ("<s> </s>", 1), ("a b", 1), ("b a", 1), ("a </s>", 1), ("b </s>", 1),
+        ("<s> a b", 1), ("a b a", 1), ("b a </s>", 1), ("<s> b </s>", 1),
+    }
+    assert {(r.gram, r.n) for r in lm.adjusted_counts(sents, 1)[0].collect()} == {("a", 2), ("b", 2), ("</s>", 3)}
