@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.elements import ElementMaker, collocation_elements, grammar_elements
+from millrace.operators.elements import LEXICAL, LINKING, REFLEXIVE, STOP, THINGS, WH, ElementMaker, collocation_elements, grammar_elements
 from millrace.operators.grammar import INFLECTED, Grammar
 
 #: A side is read up to REACH times the pattern's tokens on that side, and one more.
 REACH = 3
+#: Lemmas that change a token's elements; chunks in which every lemma does; lemmas that look at those after them.
+NOTED = LEXICAL | LINKING | REFLEXIVE | STOP | THINGS | WH | {"in", "order"}
+WITH_LEMMA = frozenset(("H-PRT", "H-SBAR", "I-SBAR"))
+ORDERLY = frozenset(("in", "order"))
 CANDIDATE = "struct<pos:string,at:int,tokens:array<string>,places:array<int>>"
 
 
@@ -109,6 +113,128 @@ def candidates(elements: Sequence[list[str]], words: Sequence[str], lemmas: Sequ
     return out
 
 
+class Search:
+    """The ways of ``_ways`` through a trie as an automaton over numbered element lists, built as lists are met.
+
+    A state holds the places in the trie that wait for the next list, with the tokens' distances on the way there.
+    """
+
+    def __init__(self, root: Node, lists: list[list[str]]) -> None:
+        self.lists = lists
+        self.states: list[tuple[int, list[tuple[Node, tuple[int, ...]]]]] = [(0, [(root, ())])]
+        self.steps: list[dict[int, tuple[list, int]]] = [{0: ([], -1)}]
+        self.at_start = [(root.ends, ())] if root.ends is not None else []
+
+    def step(self, state: int, given: int) -> tuple[list, int]:
+        seen, waiting = self.states[state]
+        own, found, after = self.lists[given], [], []
+        for node, places in waiting:
+            if not node.after or seen > node.deepest * REACH:
+                continue
+            for e in own:
+                to = node.after.get(e)
+                if to is not None:
+                    way = (*places, seen + 1)
+                    if to.ends is not None and seen <= len(way) * REACH:
+                        found.append((to.ends, way))
+                    after.append((to, way))
+            if "_" in own:
+                after.append((node, places))
+        after = [(n, w) for n, w in after if n.after and seen + 1 <= n.deepest * REACH]
+        to = -1
+        if after:
+            to = len(self.states)
+            self.states.append((seen + 1, after))
+            self.steps.append({0: ([], -1)})
+        self.steps[state][given] = found, to
+        return found, to
+
+    def ways(self, numbers: list[int], i: int, step: int) -> list[tuple[object, tuple[int, ...]]]:
+        """What ends on a way from place i, exclusive, and the distances of its tokens. 0 in numbers is an end of the sentence."""
+        state, out, steps = 0, self.at_start, self.steps
+        while state >= 0:
+            i += step
+            found, state = steps[state].get(numbers[i]) or self.step(state, numbers[i])
+            if found:
+                out = out + found
+        return out
+
+
+class Matcher:
+    """Candidates of many sentences: element lists are made once for each kind of token and neighbours."""
+
+    #: Most states of automata and kinds of tokens that are kept.
+    STATES, KINDS = 200_000, 500_000
+
+    def __init__(self, grammar: Grammar, kind: str, phrasal: dict | None) -> None:
+        self.grammar, self.make, self.whole = grammar, maker(kind, phrasal), bool(phrasal)
+        self.roots, self.sentences = tries(grammar), 0
+        self.reset()
+
+    def reset(self) -> None:
+        self.lists: list[list[str]] = [[]]
+        self.number: dict[tuple[str, ...], int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.held: list[str | None] = [None]
+        self.left = {k: Search(root, self.lists) for k, root in self.roots.items()}
+        self.right: dict[int, Search] = {}
+
+    def _number(self, own: list[str]) -> int:
+        n = self.number.get(tuple(own))
+        if n is None:
+            n = self.number[tuple(own)] = len(self.lists)
+            self.lists.append(own)
+            held = next((e for e in own if e in self.grammar.keywords), None)
+            self.held.append(held if held in self.roots else None)
+        return n
+
+    def numbers(self, w: list[str], m: list[str], t: list[str], c: list[str]) -> list[int]:
+        """A number for each token's element list, between zeros."""
+        if self.whole:
+            return [0, *(self._number(own) for own in self.make(w, m, t, c)), 0]
+        kinds, out, size = self.kinds, [0], len(w)
+        marked = [x if x in NOTED else None for x in m]
+        before = None
+        for i, (word, lemma, pos, chunk) in enumerate(zip(w, marked, t, c, strict=True)):
+            if chunk in WITH_LEMMA:
+                lemma = m[i]
+            if i + 1 < size:
+                following = ("I" if c[i + 1][:1] == "I" else "") if t[i + 1] == "TO" else None
+                key = lemma, pos, chunk, word in STOP, word[-2:] == "’s", before, following, w[i + 1] == "'s", lemma in ORDERLY and (m[i + 1], m[i + 2] if i + 2 < size else None)
+            else:
+                key = lemma, pos, chunk, word in STOP, word[-2:] == "’s", before
+            n = kinds.get(key)
+            if n is None:
+                start = max(0, i - 1)
+                near = slice(start, i + 3)
+                n = kinds[key] = self._number(self.make(w[near], m[near], t[near], c[near])[i - start])
+            out.append(n)
+            before = (m[i] == "in") if chunk == "H-SBAR" else None
+        out.append(0)
+        return out
+
+    def candidates(self, w: list[str], m: list[str], t: list[str], c: list[str], vocab: set[str] | None) -> list[tuple[str, int, list[str], list[int]]]:
+        self.sentences += 1
+        if self.sentences % 256 == 0 and (sum(len(x.states) for x in (*self.left.values(), *self.right.values())) > self.STATES or len(self.kinds) > self.KINDS):
+            self.reset()
+        numbers, held, out = self.numbers(w, m, t, c), self.held, []
+        for i, n in enumerate(numbers):
+            keyword = held[n]
+            if keyword is None or vocab is not None and w[i - 1] not in vocab and m[i - 1] not in vocab:
+                continue
+            rights: dict[int, list] = {}
+            for root, left in self.left[keyword].ways(numbers, i, -1):
+                ways = rights.get(id(root))
+                if ways is None:
+                    search = self.right.get(id(root))
+                    if search is None:
+                        search = self.right[id(root)] = Search(root, self.lists)
+                    ways = rights[id(root)] = search.ways(numbers, i, 1)
+                for tokens, right in ways:
+                    out.append((keyword, i - 1, tokens, [*(i - 1 - d for d in left[::-1]), i - 1, *(i - 1 + d for d in right)]))
+        return out
+
+
 def well_formed(sents: DataFrame, vocab: set[str] | None) -> DataFrame:
     """Sentences of equal arrays without null tokens that have a word or lemma of vocab; first letters lower-cased."""
     from millrace.functions.text import lower_first
@@ -122,6 +248,11 @@ def well_formed(sents: DataFrame, vocab: set[str] | None) -> DataFrame:
     return ok.filter(F.arrays_overlap(F.concat("words", "lemmas"), F.array(*(F.lit(v) for v in sorted(vocab))).cast("array<string>")))
 
 
+def well_formed_lists(*lists: list[str | None] | None) -> bool:
+    """As in ``well_formed``: lists of equal sizes without nulls."""
+    return all(x is not None and len(x) == len(lists[0]) and None not in x for x in lists)
+
+
 def maker(kind: str, phrasal: dict | None) -> ElementMaker:
     return grammar_elements if kind == "grammar" else lambda *t: collocation_elements(*t, phrasal=phrasal)
 
@@ -153,33 +284,43 @@ def with_candidates(sents: DataFrame, grammar: Grammar, vocab: set[str] | None,
     return ok.mapInArrow(found, f"{schema}, `{name}` array<{CANDIDATE}>")
 
 
-def pattern_rows(sents: DataFrame, grammar: Grammar, vocab: set[str] | None, kind: str = "grammar", phrasal: dict | None = None) -> DataFrame:
-    """(wordpos, pat, iocs, example, instance_sym) of each candidate of the well-formed sents, repeats included.
+def pattern_rows(sents: DataFrame, grammar: Grammar, vocab: set[str] | None, kind: str = "grammar", phrasal: dict | None = None, instances: bool = True) -> DataFrame:
+    """(wordpos, pat, iocs, example, instance_sym) of each candidate of the well-formed sents, repeats included; without
+    ``instances`` (wordpos, pat).
 
-    Rows leave the Arrow function as they are: no sentence is repeated for its candidates.
+    Rows leave the Arrow function as they are: no sentence is repeated for its candidates. It also looks for ill-formed
+    sentences: as a filter, the plan would make the arrays anew for each condition.
     """
     shared = sents.sparkSession.sparkContext.broadcast((grammar, vocab, phrasal))
-    types = [*[pa.string()] * 4, pa.map_(pa.int32(), pa.string())]
+    types = [*[pa.string()] * 4, pa.map_(pa.int32(), pa.string())] if instances else [pa.string()] * 2
+    names = ["wordpos", "pat", "iocs", "example", "instance_sym"][: len(types)]
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, v, p = shared.value
-        roots, make = tries(g), maker(kind, p)
+        matcher = Matcher(g, kind, p)
         for batch in slices(batches):
             rows = []
             for w, m, t, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                for held, at, tokens, places in candidates(make(w, m, t, c), w, m, g, v, roots):
+                if not w or not well_formed_lists(w, m, t, c):
+                    continue
+                w[0], m[0] = w[0][:1].lower() + w[0][1:], m[0][:1].lower() + m[0][1:]
+                if v is not None and v.isdisjoint(w) and v.isdisjoint(m):
+                    continue
+                for held, at, tokens, places in matcher.candidates(w, m, t, c, v):
                     lemma, iocs = m[at].lower(), " ".join([m[i] for i in places])
                     if kind == "grammar":
                         pat = " ".join([w[at].lower() if x in INFLECTED else lemma if x in g.keywords else x for x in tokens])
                     else:
                         pat = f"({' '.join(tokens)}){iocs}"
+                    if not instances:
+                        rows.append((f"{lemma}:{g.keywords[held]}", pat))
+                        continue
                     example = " ".join(w[places[0] : places[-1] + 1])
                     rows.append((f"{lemma}:{g.keywords[held]}", pat, iocs, f"[{example}]", [(i - places[0], x) for i, x in zip(places, tokens, strict=True)]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(columns, types, strict=True)], ["wordpos", "pat", "iocs", "example", "instance_sym"])
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(columns, types, strict=True)], names)
 
-    whole = well_formed(sents, vocab).select("words", "lemmas", "poss", "chunks")
-    return whole.mapInArrow(found, "wordpos string, pat string, iocs string, example string, instance_sym map<int,string>")
+    return sents.select("words", "lemmas", "poss", "chunks").mapInArrow(found, "wordpos string, pat string" + ", iocs string, example string, instance_sym map<int,string>" * instances)
 
 
 def combined_rows(sents: DataFrame, grammar: Grammar, collocations: Grammar, vocab: set[str] | None, phrasal: dict | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import align, counting, lm, tagger, windows
+from millrace.operators import align, counting, elements, lm, matching, tagger, windows
+from millrace.operators.grammar import collocation_grammar, default_grammar
 
 
 def _sentences(n, seed=3):
@@ -97,3 +98,37 @@ def test_language_model_counts_once(spark, monkeypatch):
         ("<s> a b", 1), ("a b a", 1), ("b a </s>", 1), ("<s> b </s>", 1),
     }
     assert {(r.gram, r.n) for r in lm.adjusted_counts(sents, 1)[0].collect()} == {("a", 2), ("b", 2), ("</s>", 3)}
+
+
+@pytest.mark.parametrize("kind", ["grammar", "collocation"])
+def test_matcher_makes_elements_once_for_each_kind_of_token(kind, monkeypatch):
+    grammar = default_grammar() if kind == "grammar" else collocation_grammar()
+    made, keep = [], elements.grammar_elements if kind == "grammar" else elements.collocation_elements
+    monkeypatch.setattr(matching, f"{kind}_elements", lambda *t, **k: made.append(1) or keep(*t, **k))
+    rng, size = random.Random(7), 0
+    words = ["it", "In", "in", "order", "to", "'s", "dog’s", "herself", "seem", "what", "run", "the", "thing", "anything", "of", "up", "big", "s"]
+    poss = ["NN", "NNS", "VBP", "VBN", "IN", "JJ", "TO", "RB", "PRP", "DT", "RP", "WP", "CD"]
+    chunks = ["H-NP", "I-NP", "H-VP", "I-VP", "H-PP", "H-SBAR", "I-SBAR", "H-PRT", "H-ADJP", "O"]
+    matcher = matching.Matcher(grammar, kind, None)
+    assert matcher.candidates([], [], [], [], None) == []
+    for _ in range(400):
+        n = rng.randint(1, 14)
+        w, t, c = rng.choices(words, k=n), rng.choices(poss, [9, 2, 6, 2, 5, 3, 4, 1, 2, 3, 1, 1, 1], k=n), rng.choices(chunks, [6, 4, 6, 2, 4, 2, 1, 1, 1, 1], k=n)
+        sent = w, [x.lower() for x in w], t, c
+        vocab = None if n % 2 else {"run", "dog’s", "seem"}
+        want = matching.candidates(keep(*sent), w, sent[1], grammar, vocab)
+        assert sorted(map(str, matcher.candidates(*sent, vocab))) == sorted(map(str, want))
+    size = len(made)
+    for _ in range(50):
+        matcher.candidates(*sent, None)
+    assert len(made) == size
+
+
+def test_pattern_rows_use_the_matcher(spark, monkeypatch):
+    monkeypatch.setattr(matching, "candidates", None)
+    monkeypatch.setattr(matching.Matcher, "STATES", 0)
+    sents = spark.createDataFrame([("I have great difficulty in understanding him .".split(), "I have great difficulty in understand him .".split(), "PRP VBP JJ NN IN VBG PRP .".split(), "H-NP H-VP I-NP H-NP H-PP H-VP H-NP O".split())], "words array<string>, lemmas array<string>, poss array<string>, chunks array<string>")
+    rows = matching.pattern_rows(sents, default_grammar(), None).collect()
+    assert ("difficulty:N", "difficulty in doing") in {(r.wordpos, r.pat) for r in rows}
+    bare = matching.pattern_rows(sents, default_grammar(), None, instances=False)
+    assert bare.columns == ["wordpos", "pat"] and sorted(map(tuple, bare.collect())) == sorted((r.wordpos, r.pat) for r in rows)
