@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.pairs import neighbours
+from millrace.plans.scratch import materialise
+
 
 def good_patterns(rows: DataFrame, key: str = "wordpos", pat: str = "pat", n: str | None = None, least: int = 5, deviations: float = 1.0) -> DataFrame:
     """(key, pat, cnt, freq, avg_freq, dev) of patterns that stand out among those of their key.
@@ -14,9 +17,25 @@ def good_patterns(rows: DataFrame, key: str = "wordpos", pat: str = "pat", n: st
     partial sums, one by key of distinct patterns; the statistics are sums, so no key is sorted.
     """
     counts = rows.groupBy(key, pat).agg((F.count("*") if n is None else F.sum(n)).cast("long").alias("cnt"))
-    stats = counts.groupBy(key).agg(F.sum("cnt").alias("freq"), F.avg("cnt").alias("avg_freq"), F.stddev_pop("cnt").alias("dev")).filter("dev > 0")
-    frequent = counts.filter(F.col("cnt") > least)
-    return frequent.join(stats, key).filter((F.col("cnt") - F.col("avg_freq")) / F.col("dev") > deviations).select(key, pat, "cnt", "freq", "avg_freq", "dev")
+    stats = counts.groupBy(key).agg(F.sum("cnt").alias("freq"), F.avg("cnt").alias("avg_freq"), F.stddev_pop("cnt").alias("dev"))
+    return _standing_out(counts.filter(F.col("cnt") > least), stats, key, pat, deviations)
+
+
+def good_neighbours(rows: DataFrame, text: str = "text", least: int = 5, deviations: float = 1.0) -> DataFrame:
+    """good_patterns of the pairs of neighbouring words of texts: no row is made for a pair met ``least`` times or less.
+
+    The deviations come from whole sums of counts and squares, so they are exactly 0 where all counts are equal.
+    """
+    table = materialise(neighbours(rows, text, least), "neighbours")
+    sums = table.filter("pat IS NULL").groupBy("key").agg(F.sum("pats").alias("k"), F.sum("total").alias("freq"), F.sum("squares").cast("decimal(38,0)").alias("q"))
+    spread = (F.col("k") * F.col("q") - F.col("freq").cast("decimal(19,0)") * F.col("freq")).cast("double")
+    stats = sums.select("key", "freq", (F.col("freq") / F.col("k")).alias("avg_freq"), (F.sqrt(spread) / F.col("k")).alias("dev"))
+    return _standing_out(table.filter("pat IS NOT NULL").select("key", "pat", "cnt"), stats, "key", "pat", deviations)
+
+
+def _standing_out(frequent: DataFrame, stats: DataFrame, key: str, pat: str, deviations: float) -> DataFrame:
+    out = frequent.join(stats.filter("dev > 0"), key)
+    return out.filter((F.col("cnt") - F.col("avg_freq")) / F.col("dev") > deviations).select(key, pat, "cnt", "freq", "avg_freq", "dev")
 
 
 def example_rollup(rows: DataFrame, good: DataFrame, least: int = 3) -> DataFrame:

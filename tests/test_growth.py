@@ -2,12 +2,16 @@
 
 import math
 import random
+import re
+import statistics
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import align, counting, elements, lm, matching, tagger, windows
+from millrace import queries
+from millrace.operators import align, counting, elements, lm, matching, mining, pairs, tagger, windows
 from millrace.operators.grammar import collocation_grammar, default_grammar
 
 
@@ -132,3 +136,42 @@ def test_pattern_rows_use_the_matcher(spark, monkeypatch):
     assert ("difficulty:N", "difficulty in doing") in {(r.wordpos, r.pat) for r in rows}
     bare = matching.pattern_rows(sents, default_grammar(), None, instances=False)
     assert bare.columns == ["wordpos", "pat"] and sorted(map(tuple, bare.collect())) == sorted((r.wordpos, r.pat) for r in rows)
+
+
+def _plain_good(texts, least=5, deviations=1.0):
+    counts = Counter(p for t in texts if t for w in [re.findall("[a-z]+", "".join(c.lower() if c.isascii() else " " for c in t))] for p in zip(w, w[1:], strict=False))
+    own = defaultdict(list)
+    for (k, _), n in counts.items():
+        own[k].append(n)
+    dev = {k: statistics.pstdev(v) for k, v in own.items()}
+    return {(k, p): (n, sum(own[k]), pytest.approx(statistics.mean(own[k])), pytest.approx(dev[k])) for (k, p), n in counts.items() if n > least and dev[k] and (n - statistics.mean(own[k])) / dev[k] > deviations}
+
+
+def test_good_patterns_keep_no_row_for_a_rare_pair(spark, monkeypatch, tmp_path):
+    written, keep = [], mining.materialise
+    monkeypatch.setattr(mining, "materialise", lambda df, label: written.append((keep(df, label), df._jdf.queryExecution().executedPlan().toString())) or written[-1][0])
+    monkeypatch.setattr(pairs, "PART_BYTES", 500)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "B", "b", "cé", "the", "the", f"x{'yz'[n % 2] * (n % 9)}"]) + rng.choice([" ", "\n", ", ", "\u3000", "  "]) for _ in range(rng.randint(0, 30))) for n in range(150)]
+    texts += [None, "", " ", "İı K", "solo", "a", "equal one " * 7, "...", None, "p q", "p q."] + ["m n", "m o"] * 7
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.good_patterns(spark, str(tmp_path))
+    want = _plain_good(texts)
+    assert {(r.key, r.pat): (r.cnt, r.freq, r.avg_freq, r.dev) for r in out.collect()} == want and len(want) > 5
+    ((table, plan),) = written
+    assert "Generate" not in plan and "HashAggregate" not in plan
+    assert table.filter("pat IS NOT NULL AND cnt <= 5").count() == 0 and table.select("key").distinct().count() > 20
+
+
+def test_texts_are_packed_by_bytes(monkeypatch):
+    monkeypatch.setattr(pairs, "PACKED", 10)
+    rows = ["abc", None, "defg", "x" * 25, "", "hij", "k" * 10, "l", "m"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 4], pa.string())], ["t"]) for i in (0, 4, 8)]
+    groups = [[x.decode() for a in held for x in a.to_pylist()] for held in pairs._texts(batches)]
+    assert sum(groups, []) == [r for r in rows if r is not None]
+    assert all(sum(map(len, g)) <= 10 or len([x for x in g if x]) == 1 for g in groups)
+    assert list(pairs._texts([])) == []
+    words, a, b, n = pairs._pairs([pa.array([b"", b" a b a b", b"..", b"b c"], pa.large_binary())], pairs.ASCII_WORDS)
+    names = words.to_pylist()
+    assert sorted((names[i], names[j], int(k)) for i, j, k in zip(a, b, n, strict=True)) == [("a", "b", 2), ("b", "a", 1), ("b", "c", 1)]
+    assert len(pairs._pairs([pa.array([b"", b"a"], pa.large_binary())], pairs.ASCII_WORDS)[3]) == 0
