@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from string import ascii_letters
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +15,14 @@ _NARROW = "  " + "".join(chr(c) for c in range(0x21, 0x7F))
 #: Numerals that become a number placeholder.
 NUMERALS = "〇一二兩三四五六七八九十百千萬億兆"
 #: Punctuation before a Latin word that belongs to its placeholder.
-_LATIN_JOINERS = r"\-/.﹒~—─=*&_’"
+_LATIN_JOINERS = r"\-/.~=*&_", "—’─﹒"
 NUMBER, LATIN = "{{CD}}", "{{FW}}"
-_NUMBER = rf"[{NUMERALS}]+|[0-9]+"
-_LATIN = rf"[{_LATIN_JOINERS}]*[A-Za-z][A-Za-z{_LATIN_JOINERS}]*"
+# Listed letters are one look at a bit set in Java, ranges and other characters one comparison each; so most text is passed over by
+# one or two. A run of joiners is tried from its first only: a long one costs no square.
+_JOINER = _LATIN_JOINERS[0] + f"[{_LATIN_JOINERS[1][0]}-{_LATIN_JOINERS[1][-1]}&&[{_LATIN_JOINERS[1]}]]"
+_NUMBER = rf"[0-9]++|(?=[{min(NUMERALS)}-{max(NUMERALS)}])[{NUMERALS}]++"
+_WORD = rf"[{ascii_letters}][{ascii_letters}{_JOINER}]*+"
+_LATIN = rf"{_WORD}|[{_JOINER}](?<![{_JOINER}].)[{_JOINER}]*+{_WORD}"
 #: Placeholders, the head of one that isn't closed, and runs of text between them.
 _PARTS = r"(\{\{.*?\}\}|\{\{.*$|[^{]++|\{)"
 
@@ -35,16 +41,30 @@ def to_half_width(c: Column) -> Column:
     return F.translate(c, _WIDE, _NARROW)
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c made once however often f names it; higher-order functions share nothing else."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _apart(c: Column, mixed: Callable[[Column], Column], plain: Callable[[Column], Column]) -> Column:
+    """mixed(c) where c has a placeholder or the head of one, else plain(c)."""
+    return _bound(c, lambda t: F.when(F.contains(t, F.lit("{{")), mixed(t)).otherwise(plain(t)))
+
+
+def _parts(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
+
+
 def _marked(c: Column, pattern: str, placeholder: str) -> Column:
     """What the pattern finds outside placeholders gives way to a placeholder."""
-    parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("{{"), x).otherwise(F.regexp_replace(x, pattern, placeholder))), "")
+    mark = lambda x: F.regexp_replace(x, pattern, placeholder)
+    return _apart(c, lambda t: F.array_join(F.transform(_parts(t), lambda x: F.when(x.startswith("{{"), x).otherwise(mark(x))), ""), mark)
 
 
 def _originals(c: Column, pattern: str, placeholder: str) -> Column:
-    parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
-    own = lambda x: F.when(x == placeholder, F.array(x)).when(x.startswith("{{"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)))
-    return F.flatten(F.transform(parts, own))
+    found = lambda x: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    own = lambda x: F.when(x.endswith(placeholder), F.array(F.lit(placeholder))).when(x.startswith("{{"), F.array().cast("array<string>")).otherwise(found(x))
+    return _apart(c, lambda t: F.flatten(F.transform(_parts(t), own)), found)
 
 
 def mark_numbers(c: Column) -> Column:
@@ -53,7 +73,7 @@ def mark_numbers(c: Column) -> Column:
 
 
 def number_originals(c: Column) -> Column:
-    """What mark_numbers replaces, in order; placeholders already there stand for themselves."""
+    """What mark_numbers replaces, in order; placeholders already there, also behind an open {{, stand for themselves."""
     return _originals(c, _NUMBER, NUMBER)
 
 
@@ -66,19 +86,26 @@ def latin_originals(c: Column) -> Column:
     return _originals(c, _LATIN, LATIN)
 
 
+def mark(c: Column) -> Column:
+    """Numbers, then Latin words. Where no placeholder is, Latin words go first: {{FW}} has no digit, and no part is cut."""
+    return _apart(c, lambda t: mark_latin(mark_numbers(t)), lambda t: F.regexp_replace(F.regexp_replace(t, _LATIN, LATIN), _NUMBER, NUMBER))
+
+
 def restore(c: Column, placeholder: str, originals: Column) -> Column:
     """The i-th placeholder gives way to the i-th original; those without one stay."""
     quoted = placeholder.replace("{", r"\{").replace("}", r"\}")
-    pieces = F.split(c, quoted, -1)
-    gaps = F.size(pieces) - 1
-    # zipped, not looked up: the originals may be a costly expression
-    filled = F.zip_with(F.slice(pieces, 2, gaps), F.slice(originals, 1, gaps), lambda x, o: F.concat(F.coalesce(o, F.lit(placeholder)), x))
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(filled, ""))
+
+    def filled(pieces: Column) -> Column:
+        gaps = F.size(pieces) - 1
+        # zipped, not looked up: the originals may be a costly expression
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(F.slice(pieces, 2, gaps), F.slice(originals, 1, gaps), lambda x, o: F.concat(F.coalesce(o, F.lit(placeholder)), x)), ""))
+
+    return _bound(F.split(c, quoted, -1), filled)
 
 
 def preprocess(c: Column) -> Column:
     """Strip, fold width, then numbers before Latin words."""
-    return mark_latin(mark_numbers(to_half_width(squeeze(c))))
+    return mark(to_half_width(squeeze(c)))
 
 
 def char_tokens(c: Column) -> Column:

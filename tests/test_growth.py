@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
+from millrace.functions import text as X
 from millrace.operators import align, counting, elements, lm, matching, mining, pairs, tagger, windows
 from millrace.operators.grammar import collocation_grammar, default_grammar
 
@@ -175,3 +176,37 @@ def test_texts_are_packed_by_bytes(monkeypatch):
     names = words.to_pylist()
     assert sorted((names[i], names[j], int(k)) for i, j, k in zip(a, b, n, strict=True)) == [("a", "b", 2), ("b", "a", 1), ("b", "c", 1)]
     assert len(pairs._pairs([pa.array([b"", b"a"], pa.large_binary())], pairs.ASCII_WORDS)[3]) == 0
+
+
+def _plain_marks(text, pattern, placeholder):
+    """The marked text and what was replaced, by the surveyed patterns."""
+    out, found = [], []
+    for part in re.findall(r"\{\{.*?\}\}|\{\{.*$|[^{]+|\{", text):
+        if part.startswith("{{"):
+            out.append(part)
+            found += [placeholder] * part.endswith(placeholder)
+        else:
+            out.append(re.sub(pattern, placeholder, part))
+            found += re.findall(pattern, part)
+    return "".join(out), found
+
+
+def test_placeholders_make_their_texts_once(spark):
+    number, latin = f"[{X.NUMERALS}]+|[0-9]+", r"[-/.﹒~—─=*&_’]*[A-Za-z][-A-Za-z/.﹒~—─=*&_’]*"
+    rng = random.Random(17)
+    some = ["{{", "}}", "{", "}", "{{CD}}", "{{FW}}", "1", "23", "四五", "億", "a", "Zb", "é", "—", "’", "﹒", "--", "=*", ".", "-", "–", "京", "龍", " ", "\n", "😀", "K"]
+    texts = ["", "-" * 300_000, "x" + "-" * 300_000 + "y", "=" * 50_000 + "1"]
+    texts += ["".join(rng.choices(some[4 * (n % 2 and n % 3 > 0) :], k=rng.randint(1, 14))) for n in range(1500)]
+    t = F.col("t")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    parts = {"n": X.mark_numbers(t), "l": X.mark_latin(t), "no": X.number_originals(t), "lo": X.latin_originals(t), "both": X.mark(t)}
+    got = df.withColumns(parts | {"rn": X.restore(X.mark_numbers(t), X.NUMBER, X.number_originals(t)), "rl": X.restore(X.mark_latin(t), X.LATIN, X.latin_originals(t))})
+    for r in got.collect():
+        n, l = _plain_marks(r.t, number, X.NUMBER) if len(r.t) < 99 else (r.n, r.no), _plain_marks(r.t, latin, X.LATIN) if len(r.t) < 99 else (r.l, r.lo)
+        assert (r.n, r.no, r.l, r.lo) == (*n, *l), r.t[:99]
+        assert r.both == (_plain_marks(n[0], latin, X.LATIN)[0] if len(r.t) < 99 else r.both) and r.rn == r.rl == r.t
+        if len(r.t) > 99:
+            assert r.both == {1: r.t, 2: X.LATIN, 3: r.t[:-1] + X.NUMBER}[r.i]
+    plan = df.select(X.restore(X.mark_latin(t), X.LATIN, X.latin_originals(t)).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert spark.sql("SELECT CAST(NULL AS string) t").select(*parts.values(), X.restore(t, X.LATIN, X.latin_originals(t))).first()[:] == (None,) * 6
