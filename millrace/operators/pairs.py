@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task packs at a time, and those of a part.
-PACKED, PART_BYTES = 16_000_000, 24_000_000
+PACKED, PART_BYTES = 12_000_000, 12_000_000
 #: Lower-cased runs of ASCII letters; every byte of another character is a blank.
 ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 SCHEMA = "key string, pat string, cnt bigint, pats bigint, total bigint, squares decimal(38,0)"
@@ -55,7 +55,8 @@ def _pairs(texts: list[pa.Array], letters: bytes) -> tuple[pa.Array, np.ndarray,
     lasts = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1] - 1
     keep = np.ones(len(code), bool)
     keep[lasts[(lasts >= 0) & (lasts < len(code))]] = False
-    code = np.sort(code[keep])
+    code = code[keep]
+    code.sort()
     first = np.flatnonzero(np.diff(code, prepend=-1))
     a, b = np.divmod(code[first], max(len(words.dictionary), 1))
     return words.dictionary, a, b, np.diff(np.append(first, len(code)))
@@ -74,19 +75,20 @@ def _packed(words: pa.Array, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts:
         yield int(part[i]), zlib.compress(pickle.dumps((b" ".join([spelt[u] for u in used.tolist()]), places, counts)), 1)
 
 
-def _merged(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _merged(blobs: list[pa.Buffer]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The words of a part, and its distinct pairs in the order of their first words' numbers, with their counts."""
-    names, sizes, places, counts = [], [], [], []
+    names, places, counts, at = [], [], [], 0
     for blob in blobs:
         known, own, n = pickle.loads(zlib.decompress(blob))
-        known = known.split(b" ")
-        names += known
-        places.append(own.astype(np.int64).reshape(2, -1) + sum(sizes[-1:]))
-        sizes.append(len(known) + sum(sizes[-1:]))
+        names.append(pc.split_pattern(pa.array([known.decode()], pa.large_string()), " ").flatten())
+        places.append(own.astype(np.int32).reshape(2, -1) + np.int32(at))
+        at += len(names[-1])
         counts.append(n.astype(np.int64))
-    words = pa.array(names, pa.binary()).dictionary_encode()
-    a, b = words.indices.to_numpy().astype(np.int64)[np.concatenate(places, axis=1)]
-    code = a * len(words.dictionary) + b
+    words = pa.concat_arrays(names).dictionary_encode()
+    ids = words.indices.to_numpy()
+    del names
+    code = np.concatenate([ids[own[0]].astype(np.int64) * len(words.dictionary) + ids[own[1]] for own in places])
+    del places
     order = np.argsort(code)
     code = code[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
@@ -127,12 +129,12 @@ def neighbours(rows: DataFrame, text: str = "text", least: int = 5, letters: byt
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, blobs = None, []
         for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
                 if part != of and blobs:
                     yield from _rows(*_merged(blobs), least)
                     blobs = []
                 of = part
-                blobs.append(blob)
+                blobs.append(blob.as_buffer())
         if blobs:
             yield from _rows(*_merged(blobs), least)
 
