@@ -12,9 +12,14 @@ Reading verifies every chunk against its digest, every recipe against its root a
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
+import os
+import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import goes_beyond, has_astral, splitter
+from millrace.llm.bpe import _SPACE
 from millrace.llm.common import held
 from millrace.llm.words import mix
 from millrace.plans.scratch import materialise
@@ -35,6 +40,20 @@ END = 0
 _FACTOR = 0x9E3779B97F4A7C15
 _OF_ID = mix(np.arange(1, 1 + (1 << 16), dtype=np.uint64))
 _MOST_PIECES = 600_000
+_MOST_LONG = 100_000
+#: Characters of texts that are encoded together.
+_CHARACTERS = 250_000
+#: New pieces in one of the strings that the library is given.
+_IN_BLOCK = 100
+_BETWEEN = re.compile(r"(?<=\S)[ \n](?=\S)")
+_KINDS = dict.fromkeys(("Lu", "Ll", "Lt", "Lm", "Lo"), 0) | dict.fromkeys(("Nd", "Nl", "No"), 1) | {"Cn": 5}
+#: What may follow an apostrophe within a piece, as code points, and the size of the piece.
+_SUFFIX = {suffix.encode("utf-32-le"): 1 + len(suffix) for suffix in ("s", "t", "re", "ve", "m", "ll", "d")}
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+#: A byte that UTF-8 never holds.
+_NO_BYTE = 0xFF
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -79,13 +98,92 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every character: 0 for letters, 1 for numbers, 2 for other ones, 3 for white space, 5 for those that Python's tables lack."""
+    space = re.compile(f"[{_SPACE}]")
+    out = np.array([_KINDS.get(unicodedata.category(chr(c)), 2) for c in range(sys.maxunicode + 1)], np.uint8)
+    out[[c for c in range(1 << 16) if space.match(chr(c))]] = 3
+    return out
+
+
+def piece_starts(points: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pattern that splits texts begins a piece, for texts one after the other.
+
+    points: code points, with one more of any value after each text; kinds: theirs, changed here; ends: the places
+    after texts, which are pieces too.
+    """
+    kinds[ends] = 4
+    starts = np.ones(len(kinds), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+    starts[ends] = True
+    # white space before something else: its last character stands alone, or goes with what follows if it is a blank
+    last = np.flatnonzero((kinds[:-1] == 3) & (kinds[1:] < 3))
+    starts[last] = True
+    starts[last[points[last] == 0x20] + 1] = False
+    for at in np.flatnonzero((points == 0x27) & starts & (kinds == 2)).tolist():
+        size = _SUFFIX.get(points[at + 1 : at + 2].tobytes()) or _SUFFIX.get(points[at + 1 : at + 3].tobytes())
+        if size:
+            starts[at + 1 : at + size] = False
+            starts[at + size] = True
+    return starts
+
+
+class _Table:
+    """Packed ids of pieces: of those of at most 24 bytes and four ids in rows, found many at a time.
+
+    A row has three words of a piece's bytes and the ids, with FF in the bytes of ids that a piece lacks.
+    """
+
+    def __init__(self, width: int, most: int):
+        self.width, self.most, self.n = width, most, 0
+        self._bits = max(4, (2 * most - 1).bit_length())
+        self._rows = np.empty((1 << self._bits, 3 + width // 2), np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self._rows[:, :3], self._rows[:, 3:], self.n = 0, _ALL, 0
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * _FACTORS[0] + keys[:, 1] * _FACTORS[1] + keys[:, 2] * _FACTORS[2]
+        mixed ^= mixed >> np.uint64(32)
+        return (mixed * _FACTORS[3] >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ids of each key's row, all FF where it has none."""
+        slots, last = self._first(keys), (1 << self._bits) - 1
+        rows = self._rows.take(slots, axis=0)
+        left = np.flatnonzero(((rows[:, 0] != keys[:, 0]) | (rows[:, 1] != keys[:, 1]) | (rows[:, 2] != keys[:, 2])) & (rows[:, 3] != _ALL))
+        slots = slots[left]
+        while len(left):
+            slots = slots + 1 & last
+            got, wanted = self._rows.take(slots, axis=0), keys[left]
+            rows[left] = got
+            on = ((got[:, :3] != wanted).any(axis=1)) & (got[:, 3] != _ALL)
+            left, slots = left[on], slots[on]
+        return np.ascontiguousarray(rows[:, 3:])
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct keys that have no row yet."""
+        if self.n + len(keys) > self.most:
+            self.clear()
+            keys, ids = keys[: self.most], ids[: self.most]
+        self.n += len(keys)
+        new, slots, last = np.concatenate([keys, ids], axis=1), self._first(keys), (1 << self._bits) - 1
+        while len(new):
+            free = self._rows[slots, 3] == _ALL
+            self._rows[slots[free]] = new[free]
+            on = (self._rows[slots] != new).any(axis=1)
+            new, slots = new[on], slots[on] + 1 & last
+
+
 class LibraryEncoder:
-    """The tokenizers library, called once for each distinct piece.
+    """The tokenizers library, asked once for each distinct piece.
 
     A byte-level BPE tokenizer hands the pieces of its pre-tokenizer to its model one by one, so the ids of a
-    text are those of its pieces. The ids of pieces met before are kept in a bounded table. Texts that
-    hold the string of an added token go through the library as they are, and so does every text if
-    the tokenizer is of another kind.
+    text are those of its pieces. The ids of pieces met before are kept in bounded tables; new ones go to the
+    library many in a call. Texts that hold the string of an added token, or a character that Python's tables
+    lack, go through the library as they are, and so does every text if the tokenizer is of another kind.
     """
 
     def __init__(self, file_text: str):
@@ -93,40 +191,150 @@ class LibraryEncoder:
 
         self._tokenizer = Tokenizer.from_str(file_text)
         setup = json.loads(file_text)
-        before = setup.get("pre_tokenizer") or {}
-        self._by_piece = setup.get("normalizer") is None and setup["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        before, model = setup.get("pre_tokenizer") or {}, setup["model"]
+        self._by_piece = setup.get("normalizer") is None and model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._basic, self._full = splitter().findall, None
-        tokenize, characters = self._tokenizer.model.tokenize, _byte_characters()
-        #: bytes of an id, and their code in arrays
-        self.width, code = (2, "H") if self._tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        #: bytes of an id, and their code in arrays. No id has a highest byte of FF: FF in each byte is a gap and found nowhere else.
+        self.width, code = (2, "H") if self._tokenizer.get_vocab_size() <= 0xFE00 else (4, "I")
         self._pack = lambda ids: array(code, ids).tobytes()
-        pack, blank = self._pack, characters[0x20]
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= _MOST_PIECES:
-                    self.clear()
-                plain = piece.isascii() and piece.isprintable()
-                packed = pack([t.id for t in tokenize(piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(characters))])
-                if len(piece) < 64:
-                    self[piece] = packed
-                return packed
-
-        self._ids_of = Pieces().__getitem__
-
-    def encode(self, text: str, astral: bool = True) -> bytes:
-        """Ids packed in ``width`` bytes each. astral: whether the text may hold characters beyond the basic plane."""
-        if not self._by_piece or any(t in text for t in self._added):
-            return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        if astral and goes_beyond(text):
-            if self._full is None:
-                self._full = splitter(astral=True).findall
-            return b"".join(map(self._ids_of, self._full(text)))
-        return b"".join(map(self._ids_of, self._basic(text)))
+        self._gap = b"\xff" * self.width
+        self._no_id, self._end = (1 << 8 * self.width) - 1, (1 << 8 * self.width) - 2
+        self._short, self._long = _Table(self.width, _MOST_PIECES), {}
+        self._characters = _byte_characters()
+        self._table = "".join(self._characters[b] for b in range(256))
+        if self._by_piece:
+            # the same model without a splitter; a character that no merge takes keeps pieces apart
+            self._model = Tokenizer(self._tokenizer.model)
+            self._barrier, vocab = self._characters[_NO_BYTE], self._model.get_vocab()
+            whole = vocab.keys() >= set(self._characters.values()) and not any(model.get(k) for k in ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+            self._together = whole and sum(self._barrier in token for token in vocab) == 1
+
+    def encode(self, text: str) -> bytes:
+        """Ids packed in ``width`` bytes each."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The packed ids of each text, in order."""
+        group: list[str] = []
+        n = 0
+        for text in texts:
+            whole = not self._by_piece or any(t in text for t in self._added)
+            if whole or n + len(text) > _CHARACTERS:
+                yield from self._encode_group(group)
+                group, n = [], 0
+            if whole:
+                yield self._whole(text)
+            elif len(text) > _CHARACTERS:
+                yield b"".join(packed for part in _parts(text) for packed in self._encode_group([part]))
+            else:
+                group.append(text)
+                n += len(text)
+        yield from self._encode_group(group)
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts, whose pieces are looked up together."""
+        if not texts:
+            return []
+        joined = "\n".join([*texts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(text) + 1 for text in texts]) - 1
+        kinds = _kinds()[points]
+        if kinds.max() > 3:  # the library's tables may be newer than Python's
+            odd = {*np.searchsorted(ends, np.flatnonzero(kinds > 3)).tolist()}
+            rest = iter(self._encode_group([text for i, text in enumerate(texts) if i not in odd]))
+            return [self._whole(text) if i in odd else next(rest) for i, text in enumerate(texts)]
+        starts = np.flatnonzero(piece_starts(points, kinds, ends))
+        data = joined.encode()
+        at = starts
+        if len(data) > len(points):
+            before = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.uint8), out=before[1:])
+            at = before[starts]
+        sizes = np.diff(at, append=len(data))
+        padded = data + bytes(32)
+        words = np.ndarray((len(data) + 24,), "<u8", padded, strides=(1,))
+        keys = np.empty((len(at), 3), np.uint64)
+        for k in range(3):
+            keys[:, k] = words[at + 8 * k] & _MASKS[np.clip(sizes - 8 * k, 0, 8)]
+        ids = self._short.find(keys).view(f"<u{self.width}")
+        if (long := sizes > 24).any():
+            ids[long] = self._no_id
+        if b"\0" in data:  # keys do not tell trailing zeros from missing bytes
+            ids[np.frombuffer(data, np.uint8)[at + sizes - 1] == 0] = self._no_id
+        sentinels = np.searchsorted(starts, ends)
+        ids[sentinels, 0] = self._end
+        ids[sentinels, 1:] = self._no_id
+        has = ids != self._no_id
+        gaps = np.flatnonzero(~has[:, 0])
+        has[gaps, 0] = True
+        row = ids[has]
+        bounds = np.flatnonzero(row == self._end) * self.width
+        packed = row.tobytes()
+        out = [packed[a:b] for a, b in zip([0, *(bounds + self.width).tolist()], bounds.tolist(), strict=False)]
+        if not len(gaps):
+            return out
+        stops = np.append(starts, len(joined))[gaps + 1]
+        pieces = [joined[a:b] for a, b in zip(starts[gaps].tolist(), stops.tolist(), strict=True)]
+        answers = self._answers(pieces, gaps, keys, sizes)
+        filled, start = [], 0
+        for stream in out:
+            runs = stream.split(self._gap)
+            if len(runs) > 1:
+                both = [b""] * (2 * len(runs) - 1)
+                both[::2], both[1::2] = runs, [answers[piece] for piece in pieces[start : start + len(runs) - 1]]
+                start, stream = start + len(runs) - 1, b"".join(both)
+            filled.append(stream)
+        return filled
+
+    def _answers(self, pieces: list[str], gaps: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
+        """The packed ids of pieces that have no row; those that may have one get it."""
+        first = dict(zip(reversed(pieces), reversed(gaps.tolist()), strict=True))
+        answers = {piece: self._long[piece] for piece in first if piece in self._long}
+        new = [piece for piece in first if piece not in answers]
+        asked = dict(zip(new, self._ask(new), strict=True)) if new else {}
+        most = 4 * self.width
+        short = [piece for piece in new if sizes[first[piece]] <= 24 and len(asked[piece]) <= most and piece[-1] != "\0"]
+        if short:
+            ids = np.frombuffer(b"".join(asked[piece].ljust(most, b"\xff") for piece in short), "<u8").reshape(len(short), -1)
+            self._short.add(keys[[first[piece] for piece in short]], ids)
+        if len(self._long) >= _MOST_LONG:
+            self._long.clear()
+        kept = set(short)
+        self._long.update((piece, packed) for piece, packed in asked.items() if piece not in kept and len(piece) < 64)
+        return answers | asked
+
+    def _ask(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece, from the library."""
+        shown = [codecs.charmap_decode(piece.encode(), "strict", self._table)[0] for piece in pieces]
+        if not self._together:
+            return [self._pack([t.id for t in self._tokenizer.model.tokenize(piece)]) for piece in shown]
+        # a long string costs the library's queue of merges more for each byte than a short one
+        blocks = [self._barrier.join(shown[k : k + _IN_BLOCK]) for k in range(0, len(shown), _IN_BLOCK)]
+        barrier, ids = self._model.token_to_id(self._barrier), []
+        for block in self._model.encode_batch_fast(blocks, add_special_tokens=False):
+            ids += block.ids
+            ids.append(barrier)
+        row = np.array(ids, f"<u{self.width}")
+        packed, bounds = row.tobytes(), (np.flatnonzero(row == barrier) * self.width).tolist()
+        return [packed[a:b] for a, b in zip([0, *(x + self.width for x in bounds)], bounds, strict=False)]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts, cut before single blanks and line ends, where a piece begins whatever surrounds it. A text without these stays whole."""
+    start = 0
+    while start < len(text):
+        cut_at = _BETWEEN.search(text, start + _CHARACTERS)
+        end = cut_at.start() if cut_at else len(text)
+        yield text[start:end]
+        start = end
 
 
 def _encoder(file_text: str) -> LibraryEncoder:
+    # a task has its core to itself: the library starts no threads
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return held(f"library {hashlib.sha256(file_text.encode()).hexdigest()}", lambda: LibraryEncoder(file_text))
 
 
@@ -150,9 +358,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "
             for batch in (whole.slice(k, 500) for k in range(0, max(1, whole.num_rows), 500)):
                 chunks: list[tuple[bytes, int, bytes]] = []
                 recipes = []
-                astral = has_astral(batch.column(1))
-                for text in batch.column(1):
-                    stream = encoder.encode(text.as_py() or "", astral) + end_mark
+                for ids in encoder.encode_all((text.as_py() or "" for text in batch.column(1))):
+                    stream = ids + end_mark
                     digests, start = [], 0
                     for end in cut(np.frombuffer(stream, f"<u{width}")):
                         data = stream[start * width : end * width]

@@ -392,6 +392,39 @@ def test_token_store(spark, docs, rows, none):
     assert read_summaries(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("characters, most", [(250_000, 600_000), (60, 600_000), (7, 5), (250_000, 40)])
+def test_library_encoder(monkeypatch, characters, most):
+    from tokenizers import Tokenizer
+
+    from millrace.llm import token_store
+
+    monkeypatch.setattr(token_store, "_CHARACTERS", characters)
+    monkeypatch.setattr(token_store, "_MOST_PIECES", most)
+    monkeypatch.setattr(token_store, "_MOST_LONG", 3)
+    file = vocabulary("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(file)
+    with open(file, encoding="utf-8") as f:
+        encoder = token_store.LibraryEncoder(f.read())
+    texts = [t or "" for t in _texts()]
+    # Python's tables lack the first character, which the library takes for a letter
+    texts += ["ve\U0001351e's b", "don't we'll 's's ''s '' 're'", "x\0 x \0\0y\0", "a \n b\r\n\r\n", " \x85\u3000 a\u3000b  ", "😀's 😀😀 𝒳y", "'", "'l", " 's", "z" * 500, "漢字" * 40, "endoftext|><|endoftext|>"]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == ref.encode(text, add_special_tokens=False).ids, text
+
+
+def test_library_is_asked_for_many_pieces_at_once():
+    from millrace.llm.token_store import LibraryEncoder
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = LibraryEncoder(f.read())
+    asked, ask = [], encoder._ask
+    encoder._ask = lambda pieces: asked.append(len(pieces)) or ask(pieces)
+    for _ in range(2):
+        assert len([*encoder.encode_all(f"qx{i}y wo{i}rd{'long' * 9}" for i in range(500))]) == 500
+    assert len(asked) == 1 and asked[0] > 500
+
+
 def test_store_parts():
     a, b = bytes(range(200)), bytes(range(77))
     assert crc32_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
